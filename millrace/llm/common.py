@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,28 @@ def ascii_lower(column):
     return F.translate(column, UPPER, UPPER.lower())
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which may not have it installed; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="millrace-code-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(name))
+    _shipped[app] = str(name)
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,5 +104,3 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to say."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
-
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("annotations", "os", "uuid", "tempfile")]

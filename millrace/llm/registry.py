@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import bpe, langid, minhash, packed
 
 
 def queries() -> dict:
-    return {"op8_minhash_dedup": minhash.op8_minhash_dedup}
+    return {
+        "op4_bpe": bpe.op4_bpe,
+        "op5_language_id": langid.op5_language_id,
+        "op8_minhash_dedup": minhash.op8_minhash_dedup,
+        "op10_packed_ids": packed.op10_packed_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

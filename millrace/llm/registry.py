@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, packed
+from . import bpe, decontaminate, langid, minhash, packed
 
 
 def queries() -> dict:
     return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_bpe": bpe.op4_bpe,
         "op5_language_id": langid.op5_language_id,
         "op8_minhash_dedup": minhash.op8_minhash_dedup,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_dedup": minhash.OP8_SQL}
+    return {"op2_decontaminate": decontaminate.OP2_SQL, "op8_minhash_dedup": minhash.OP8_SQL}

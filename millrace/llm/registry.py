@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, minhash, packed
+from . import bpe, decontaminate, langid, lines, minhash, packed
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_bpe": bpe.op4_bpe,
         "op5_language_id": langid.op5_language_id,

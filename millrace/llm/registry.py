@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, lines, minhash, packed
+from . import bpe, chat, decontaminate, langid, lines, minhash, packed, pii, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lines.op1_line_dedup,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_url_filter": urlfilter.op3_url_filter,
         "op4_bpe": bpe.op4_bpe,
         "op5_language_id": langid.op5_language_id,
+        "op6_preference_format": chat.op6_preference_format,
+        "op7_pii": pii.op7_pii,
         "op8_minhash_dedup": minhash.op8_minhash_dedup,
         "op10_packed_ids": packed.op10_packed_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL, "op8_minhash_dedup": minhash.OP8_SQL}
+    return {
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op6_preference_format": chat.OP6_SQL,
+        "op8_minhash_dedup": minhash.OP8_SQL,
+    }

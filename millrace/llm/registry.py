@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, lines, minhash, packed, pii, urlfilter
+from . import bpe, chat, decontaminate, langid, lines, minhash, packed, pii, urlfilter, vectors
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_preference_format": chat.op6_preference_format,
         "op7_pii": pii.op7_pii,
         "op8_minhash_dedup": minhash.op8_minhash_dedup,
+        "op9_vector_dedup": vectors.op9_vector_dedup,
         "op10_packed_ids": packed.op10_packed_ids,
     }
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.OP2_SQL,
         "op6_preference_format": chat.OP6_SQL,
         "op8_minhash_dedup": minhash.OP8_SQL,
+        "op9_vector_dedup": vectors.OP9_SQL,
     }

@@ -23,7 +23,9 @@ rows; ids must be integers; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -34,12 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import map_arrow, new_path, partitions, read_table, store
 
 MAGIC, BLOCK = b"MRPK", 4096
 HEADER, TRAILER = struct.Struct("<4sHHII"), struct.Struct("<QQQQ4sI")
 _HIGH = regex.compile("[^\\x00-˿]")
-_MEMORY, _LONG = 200_000, 48
+_MEMORY, _LONG = 1_000_000, 48
 
 
 def bits_for(vocabulary: int) -> int:
@@ -164,8 +167,12 @@ class PieceEncoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        space = r"\p{White_Space}"
-        self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|{space}+(?![^{space}])|{space}+")
+        # the splitter's pattern over the characters below U+0300, its classes written out
+        low = [chr(c) for c in range(0x300)]
+        letter, number = ("".join(re.escape(c) for c in low if unicodedata.category(c)[0] == k) for k in "LN")
+        space = "".join(re.escape(c) for c in low if c.isspace() and not "\x1c" <= c <= "\x1f")
+        self.pieces = re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+        self.model, self.letters = self.library.model, dict(enumerate(byte_alphabet()))
         self.known: dict[str, bytes] = {}
 
     def _part(self, text: str) -> bytes:
@@ -178,10 +185,16 @@ class PieceEncoder:
             pass
         if len(known) >= _MEMORY:
             known.clear()
-        new = list({p for p in parts if p not in known})
-        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
-        known.update((p, b) for p, b in got.items() if len(p) <= _LONG)
-        return b"".join([got[p] if p in got else known[p] for p in parts])
+        out = []
+        for p in parts:
+            if (ids := known.get(p)) is None:
+                # the library's model takes a piece as one character a byte
+                shown = p.encode().decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+                if len(p) <= _LONG:
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:

@@ -1,0 +1 @@
+"""Spark-native analytics and retrieval over document collections."""

@@ -74,50 +74,58 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
-def star_pairs(buckets: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's smallest member; linear in the rows."""
-    heads = buckets.groupBy(key).agg(F.min(node).alias("b"), F.max(node).alias("__top")).where("b < __top").drop("__top")
-    return buckets.join(heads, key).select(F.col(node).alias("a"), "b").where("a <> b").distinct()
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, ta, b, tb): each member of a bucket with the bucket's smallest member; linear in the rows."""
+    heads = buckets.groupBy("key").agg(F.min(F.struct("node", "tag")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = buckets.join(heads, "key").select(F.col("node").alias("a"), F.col("tag").alias("ta"), F.col("head.node").alias("b"), F.col("head.tag").alias("tb"))
+    return pairs.where("a <> b").distinct()
 
 
-def link_buckets(buckets: DataFrame, confirm, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Links and components of the relation ``confirm`` over nodes that share a bucket.
+def link_buckets(buckets: DataFrame, confirm, settle=None, rounds: int = 1) -> DataFrame:
+    """(id, component) of the relation that ``confirm`` holds, over nodes that share a bucket.
 
-    ``buckets`` has (key, node); ``confirm`` takes (a, b) pairs and returns those
-    that are linked. Each round ties every member of a bucket to one head only,
+    ``buckets`` has (key, node, tag), the tag a fact about the node that spares
+    ``confirm`` a join; ``confirm`` takes (a, ta, b, tb) and returns the (a, b) that
+    are linked. Each round ties every member of a bucket to one head only,
     confirms these, and contracts; a bucket whose members then lie in one
     component can add nothing and goes, and so does each head, which has met
-    all members. After ``rounds`` rounds the pairs of the few buckets left, from
-    different components only, are confirmed one by one, so that no link
-    between components is lost. Returns (id, component) and the links used.
+    all members. In the few buckets left, members of different components are
+    held against each other, so that no link is lost: by ``settle``, which takes
+    (key, node, component) and returns links (a, b), or by a join and ``confirm``.
+    Nodes without a link are not in the result.
     """
-    live, path = written(buckets.distinct(), "buckets")
-    spark, paths = buckets.sparkSession, [path]
-    links = None
-    found = None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            pairs = star_pairs(live.select("key", "node"))
-        else:
-            left = live.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            right = live.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "key").where("ca < cb").select("a", "b").distinct()
-        new, path = written(confirm(pairs), "links")
+    spark = buckets.sparkSession
+    live, live_path = written(buckets.select("key", "node", "tag").distinct(), "buckets")
+    links, paths = None, []
+
+    def linked(df: DataFrame) -> DataFrame:
+        nonlocal links
+        new, path = written(df, "links")
+        paths.append(path)
         links = new if links is None else links.unionByName(new)
-        found = connected_components(links)
-        if turn == rounds:
-            break
+        return connected_components(links)
+
+    for _ in range(rounds):
+        found = linked(confirm(star_pairs(live)))
         heads = live.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 2")
         rest = (
-            live.select("key", "node").join(heads, "key").where("node <> head").select("key", "node")
+            live.select("key", "node", "tag").join(heads, "key").where("node <> head").select("key", "node", "tag")
             .join(found.withColumnRenamed("id", "node"), "node", "left")
-            .select("key", "node", F.coalesce("component", "node").alias("component"))
+            .select("key", "node", "tag", F.coalesce("component", "node").alias("component"))
         )
         mixed = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-        live, path = written(rest.join(mixed, "key", "left_semi"), "buckets")
-        paths.append(path)
+        new, new_path = written(rest.join(mixed, "key", "left_semi"), "buckets")
+        forget(spark, live_path)
+        live, live_path = new, new_path
         if live.isEmpty():
             break
-    for path in paths:
+    else:
+        if settle is not None:
+            found = linked(settle(live))
+        else:
+            left = live.select("key", F.col("node").alias("a"), F.col("tag").alias("ta"), F.col("component").alias("ca"))
+            right = live.select("key", F.col("node").alias("b"), F.col("tag").alias("tb"), F.col("component").alias("cb"))
+            found = linked(confirm(left.join(right, "key").where("ca < cb").select("a", "ta", "b", "tb").distinct()))
+    for path in (*paths, live_path):
         forget(spark, path)
-    return found, links
+    return found

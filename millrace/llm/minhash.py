@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, map_arrow, read_table, written
+from .common import forget, map_arrow, read_table, ship, written
 from .components import link_buckets
 
 BANDS, ROWS = 64, 8
@@ -132,6 +132,49 @@ def _sets(size: int):
     return run
 
 
+#: Set elements that one task of ``_settle`` holds of each of two blocks of a bucket.
+BLOCK = 2_000_000
+
+
+def _across(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between members of different components, one for each member and other component."""
+        table = table.combine_chunks()
+        sets = table["shingles"].chunk(0)
+        nodes, comps = table["node"].to_pylist(), np.unique(table["component"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        starts = sets.offsets.to_numpy()[:-1] - sets.offsets.to_numpy()[0]
+        sizes = np.diff(sets.offsets.to_numpy())
+        values, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        major = np.bincount(comps).argmax()
+        mask, a, b = np.zeros(len(values), np.uint8), [], []
+        for i in np.flatnonzero(comps != major):
+            own = codes[starts[i] : starts[i] + sizes[i]]
+            mask[own] = 1
+            both = np.add.reduceat(mask[codes], starts, dtype=np.int64)
+            mask[own] = 0
+            ok = ((100 + percent) * both >= percent * (sizes + sizes[i])) & (comps != comps[i])
+            _, one = np.unique(comps[ok], return_index=True)
+            for j in np.flatnonzero(ok)[one]:
+                a.append(nodes[i])
+                b.append(nodes[j])
+        kind = table.schema.field("node").type
+        return pa.table([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+    return run
+
+
+def _settle(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links across components within buckets; a bucket goes in blocks, each pair of blocks to one task."""
+    kind = live.schema["node"].dataType.simpleString()
+    ship(live.sparkSession)
+    sized = live.join(full.select("node", F.size("shingles").alias("n")), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("g"))
+    dealt = live.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    dealt = dealt.select("key", "node", "component", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    dealt = dealt.select("key", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "node", "component")
+    return dealt.join(full, "node").groupBy("key", "lo", "hi").applyInArrow(_across(percent), f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -146,8 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = seen.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"))
     nodes, nodes_path = written(nodes, "nodes")
     buckets = (
-        nodes.select("node").join(seen.select(F.col("id").alias("node"), "keys", "fp"), "node")
-        .dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+        nodes.select("node").join(seen.select(F.col("id").alias("node"), "keys", "fp", "n_shingles"), "node")
+        .dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("tag"), F.explode("keys").alias("key"))
     )
     buckets, buckets_path = written(buckets, "bands")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -163,16 +206,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirm(pairs: DataFrame) -> DataFrame:
         left = full.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = full.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        fits = f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))"
+        fits = f"100 * least(ta, tb) >= {percent} * greatest(ta, tb)"
         # |A or B| = |A| + |B| - |A and B|
         return (
-            pairs.join(left, "a").join(right, "b").where(fits)
+            pairs.where(fits).join(left, "a").join(right, "b")
             .withColumn("both", F.size(F.array_intersect("sa", "sb")))
             .where(f"{100 + percent} * cast(both as long) >= {percent} * (cast(size(sa) as long) + size(sb))")
             .select("a", "b")
         )
 
-    found, _ = link_buckets(buckets, confirm)
+    found = link_buckets(buckets, confirm, lambda live: _settle(live, full, percent))
     forget(spark, full_path)
     forget(spark, shared_path)
     groups = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))

@@ -68,12 +68,12 @@ def test_upsert_and_json(spark, tmp_path):
 
 
 def test_report_files(spark, tmp_path):
-    folder = tmp_path / "GTCO" / "2024"
+    folder = tmp_path / "ABCD" / "2024"
     folder.mkdir(parents=True)
     (folder / "Annual Report.pdf").write_bytes(b"\n%PDF-1.7 x")
     (folder / "bad.pdf").write_bytes(b"<html>")
     out = {r.filename: r for r in readers.report_files(spark, str(tmp_path)).collect()}
-    assert out["Annual Report.pdf"].report_id == "gtco_2024_annual_report" and out["Annual Report.pdf"].valid and not out["bad.pdf"].valid
+    assert out["Annual Report.pdf"].report_id == "abcd_2024_annual_report" and out["Annual Report.pdf"].valid and not out["bad.pdf"].valid
 
 
 def test_snapshot_growth(spark, tmp_path):

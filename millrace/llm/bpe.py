@@ -35,7 +35,7 @@ from .common import map_arrow, read_table
 
 #: From here on the normaliser's Unicode tables matter.
 _HIGH = regex.compile("[^\\x00-˿]")
-_MEMORY, _LONG = 200_000, 48
+_MEMORY, _LONG = 100_000, 48
 
 
 def byte_alphabet() -> list[str]:

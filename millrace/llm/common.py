@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as send_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -53,21 +53,15 @@ def ascii_lower(column):
     return F.translate(column, UPPER, UPPER.lower())
 
 
-_shipped: dict[str, str] = {}
+#: Rows of an Arrow batch: texts can be long, and a batch is held several times over.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which may not have it installed; once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="millrace-code-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(name))
-    _shipped[app] = str(name)
+    """Send this package to the executors and keep Arrow batches of texts small."""
+    send_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:

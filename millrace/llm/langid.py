@@ -18,16 +18,18 @@ count as the text ``null`` in the fold rule; other columns are ignored.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, read_table
+from .common import map_arrow, read_table, ship
 
 DIMENSIONS, SEED, FIXED = 1024, 7, 1 << 20
-_TABLE_ROWS = 40_000
+_TABLE_ROWS, _CHUNK = 16_000, 4096
 
 
 @functools.lru_cache(1)
@@ -87,8 +89,8 @@ class Profiles:
             return None
         codes, counts = np.unique((s[:-2] * self.n + s[1:-1]) * self.n + s[2:], return_counts=True)
         total = np.zeros(self.dimensions, np.float32)
-        for i in range(0, len(codes), 20_000):
-            total += counts[i : i + 20_000].astype(np.float32) @ self.table[self._rows(codes[i : i + 20_000])].astype(np.float32)
+        for i in range(0, len(codes), _CHUNK):
+            total += counts[i : i + _CHUNK].astype(np.float32) @ self.table[self._rows(codes[i : i + _CHUNK])].astype(np.float32)
         size = float(np.sqrt(total @ total))
         return total / size if size else total
 
@@ -133,11 +135,11 @@ def learn(labelled: DataFrame, *, dimensions: int = DIMENSIONS, seed: int = SEED
 
 
 def _predict(names: list[str], prototypes: bytes, dimensions: int, seed: int):
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, protos = profiles(dimensions, seed), np.frombuffer(prototypes, np.float32).reshape(-1, dimensions)
         for batch in batches:
             lang, score = [], []
-            for text in batch.column(0):
+            for text in batch:
                 v = model.vector(text.as_py()) if names else None
                 if v is None:
                     lang.append("und")
@@ -147,17 +149,18 @@ def _predict(names: list[str], prototypes: bytes, dimensions: int, seed: int):
                     k = int(np.argmax(cos))
                     lang.append(names[k])
                     score.append(min(1.0, max(0.0, float(cos[k]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", *, keep: list[str] | None = None, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """The other columns of ``docs`` (``keep``, or all) under ``row``, with lang_pred and score."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", *, dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """Each row of ``docs`` under ``row``, with lang_pred and score; only the texts go to Python."""
     names, prototypes = model
-    rows = docs.select(F.col(text_col).alias("text"), F.struct(*(keep or docs.columns)).alias("row"))
-    out = rows.schema["row"].dataType.simpleString()
-    return map_arrow(rows, _predict(names, prototypes.tobytes(), dimensions, seed), f"row {out}, lang_pred string, score double")
+    ship(docs.sparkSession)
+    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = F.arrow_udf(_predict(names, prototypes.tobytes(), dimensions, seed), kind)
+    return docs.select(F.struct(*docs.columns).alias("row"), found(F.col(text_col)).alias("found")).select("row", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
 def held_out(doc_id) -> object:
@@ -169,4 +172,4 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; prototypes from the documents that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))
     model = learn(docs.where(~F.col("held_out")))
-    return identify(docs, model, keep=["doc_id", "held_out"]).select("row.doc_id", "row.held_out", "lang_pred", "score")
+    return identify(docs, model).select("row.doc_id", "row.held_out", "lang_pred", "score")

@@ -46,7 +46,7 @@ class _Words(dict):
     """Word to 64-bit hash; forgets all when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:

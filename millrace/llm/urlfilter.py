@@ -8,9 +8,14 @@ labelled URLs (best balanced accuracy). Each order is smoothed towards the
 next lower one with a weight that falls with the context's count, so long
 contexts rule where they are known.
 
-Counts come from all labelled URLs. A context with its next byte is hashed to one
-of 2**18 counters, so the model has a fixed size (two tables of 2 MB) at any
-input; partial counts are summed before and after the shuffle.
+Counts come from all labelled URLs, are exact and stay in a distributed table that
+grows with the corpus. A place of a URL is its window: the byte and the five
+before it, nine bits each in a long. Counts of all orders are sums over windows
+with the same end, and what a place adds to the score depends on its window alone, so it is
+worked out once for each distinct window and joined with the places. That table
+is broadcast up to ``BROADCAST_ROWS`` windows; beyond, only the most common
+windows are, and the others are joined in a shuffle. Terms are added as whole
+numbers of 2**-32, so that their order does not matter.
 
 Labels are the URLs that rules decide, or any two tables that the caller gives.
 Edge cases: a null URL or one without ``://`` has empty host and path, and null
@@ -26,9 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table
+from .common import forget, map_arrow, read_table, small_enough, written
 
-ORDER, SLOTS, WEIGHT, STEPS = 5, 1 << 18, 4.0, 2000
+ORDER, WEIGHT, STEPS = 5, 4.0, 2000
+#: Distinct windows that are broadcast; beyond, those with this share of all places.
+BROADCAST_ROWS, COMMON = 500_000, 1e-4
+#: Bits of a byte in a window, and the parts of a term's unit.
+BITS, UNIT = 9, 1 << 32
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
@@ -51,77 +60,82 @@ def rule_for(rules: list[tuple[str, str]]) -> object:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _keys(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of (context, byte) and of the context alone, as arrays [order, place]; and the URLs' lengths."""
+def _windows(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The window of every place of the URLs, and the URLs' lengths."""
     parts = [u.encode() for u in urls]
-    lengths = np.array([len(p) for p in parts])
-    text = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64) + np.uint64(1)
+    lengths = np.array([len(p) for p in parts], np.int64)
+    text = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
     place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    full = np.empty((ORDER + 1, len(text)), np.int64)
-    head = np.empty((ORDER + 1, len(text)), np.int64)
-    context = np.zeros(len(text), np.uint64)
-    for k in range(ORDER + 1):
-        if k:  # one byte further back; 0 before the start
-            back = np.zeros(len(text), np.uint64)
-            back[k:] = text[:-k] if k < len(text) else text[:0]
-            back[place < k] = 0
-            context = context * np.uint64(257) + back
-        base = context * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0x51ED270B + 1)
-        head[k] = (base ^ (base >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)
-        base = base + text * np.uint64(0x94D049BB133111EB)
-        full[k] = (base ^ (base >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)
-    return full, head, lengths
+    out = text.copy()
+    for k in range(1, ORDER + 1):  # one byte further back; 0 before the start
+        back = np.zeros(len(text), np.int64)
+        back[k:] = text[:-k]
+        back[place < k] = 0
+        out |= back << (BITS * k)
+    return out, lengths
 
 
 def _count(batches):
-    total = {}
     for batch in batches:
-        urls, side = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
-        for s in (0, 1):
-            own = [u for u, x in zip(urls, side) if x == s and u]
-            if own:
-                table = total.setdefault(s, np.zeros((2, SLOTS), np.int64))
-                full, head, _ = _keys(own)
-                table[0] += np.bincount(full.ravel(), minlength=SLOTS)
-                table[1] += np.bincount(head.ravel(), minlength=SLOTS)
-    for s, table in total.items():
-        for kind in (0, 1):
-            slot = np.flatnonzero(table[kind])
-            n = len(slot)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(slot.astype(np.int32)), pa.array(table[kind][slot])], ["side", "kind", "slot", "n"])
-
-
-def learn(labelled: DataFrame) -> np.ndarray | None:
-    """Counts [side, kind, slot] from (url, side) rows, side 1 accepted; None unless there are both."""
-    counts = map_arrow(labelled.select("url", "side"), _count, "side int, kind int, slot int, n long")
-    rows = counts.groupBy("side", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2, 2, SLOTS), np.float32)
-    out[tuple(rows.column(c).to_numpy() for c in ("side", "kind", "slot"))] = rows.column("n").to_numpy()
-    return out if out[0].any() and out[1].any() else None
-
-
-def score(urls: list[str], model: np.ndarray) -> np.ndarray:
-    """Log-likelihood under accepted less that under rejected, by byte."""
-    full, head, lengths = _keys(urls)
-    logs = []
-    for s in (1, 0):
-        p = np.full(full.shape[1], 1 / 256)
-        for k in range(ORDER + 1):
-            p = (model[s, 0][full[k]] + WEIGHT * p) / (model[s, 1][head[k]] + WEIGHT)
-        logs.append(np.log(p))
-    ends = np.concatenate(([0], np.cumsum(lengths)))
-    sums = np.concatenate(([0.0], np.cumsum(logs[0] - logs[1])))
-    return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(lengths, 1)
+        side = np.array(batch.column(1).to_pylist())
+        urls = batch.column(0).to_pylist()
+        for s in (-1, 0, 1):
+            found, n = np.unique(_windows([u or "" for u, x in zip(urls, side) if x == s])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), s, np.int32)), pa.array(n.astype(np.int64))], ["w", "side", "n"])
+
+
+def _places(batches):
+    for batch in batches:
+        found, lengths = _windows([u or "" for u in batch.column(0).to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), lengths)), pa.array(found)], ["uid", "w"])
+
 
+def count_windows(urls: DataFrame) -> DataFrame:
+    """(w, n, n0, n1) from (url, side) rows: places to score (side -1), places of rejected (0) and accepted (1) URLs."""
+    counts = map_arrow(urls.select("url", "side"), _count, "w long, side int, n long")
+    return counts.groupBy("w").agg(*(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(c) for s, c in ((-1, "n"), (0, "n0"), (1, "n1"))))
 
-def _scored(model: bytes):
-    def run(batches):
-        m = np.frombuffer(model, np.float32).reshape(2, 2, SLOTS)
-        for batch in batches:
-            urls = [u or "" for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score(urls, m) if urls else np.empty(0))], [*batch.schema.names[1:], "score"])
 
-    return run
+def terms(windows: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """(w, n, term) of the windows to score: log-likelihood of the byte under accepted less that under rejected, in parts of ``UNIT``."""
+    small = small_enough(windows, BROADCAST_ROWS)
+    known = windows.where("n0 + n1 > 0")
+    out = windows.where("n > 0")
+
+    def summed(out: DataFrame, key: str, name: str, bounded: bool) -> DataFrame:
+        table = known.groupBy(F.expr(key).alias("k")).agg(F.sum("n0").alias(f"{name}_0"), F.sum("n1").alias(f"{name}_1"))
+        if small or bounded or small_enough(table, BROADCAST_ROWS):
+            table = F.broadcast(table)
+        return out.withColumn("k", F.expr(key)).join(table, "k", "left").drop("k")
+
+    for k in range(ORDER + 1):  # two bytes or fewer have at most 257 ** 2 values
+        if k < ORDER:
+            out = summed(out, f"w & {(1 << BITS * (k + 1)) - 1}L", f"full{k}", k < 2)
+        if k:
+            out = summed(out, f"shiftrightunsigned(w, {BITS}) & {(1 << BITS * k) - 1}L", f"head{k}", k < 3)
+    logs = []
+    for s in (1, 0):
+        p = F.lit(1 / 256)
+        for k in range(ORDER + 1):
+            full = F.coalesce(f"full{k}_{s}", F.lit(0)) if k < ORDER else F.col(f"n{s}")
+            head = F.coalesce(f"head{k}_{s}", F.lit(0)) if k else F.lit(totals[s])
+            p = (full + WEIGHT * p) / (head + WEIGHT)
+        logs.append(F.log(p))
+    return out.select("w", "n", F.round((logs[0] - logs[1]) * UNIT).cast("long").alias("term"))
+
+
+def score(urls: DataFrame, term: DataFrame) -> DataFrame:
+    """(uid, sum) from (url, uid) rows: the terms of their places added up, in parts of ``UNIT``; no row for an empty URL."""
+    places = map_arrow(urls.select("url", "uid"), _places, "uid long, w long")
+    if small_enough(term, BROADCAST_ROWS):
+        met = places.join(F.broadcast(term.select("w", "term")), "w")
+    else:
+        least = COMMON * term.agg(F.sum("n")).first()[0]
+        common = F.broadcast(term.where(F.col("n") >= least).select("w", F.col("term").alias("common")))
+        both = places.join(common, "w", "left")
+        rare = both.where("common is null").select("uid", "w").join(term.where(F.col("n") < least).select("w", "term"), "w")
+        met = both.where("common is not null").select("uid", F.col("common").alias("term")).unionByName(rare.select("uid", "term"))
+    return met.groupBy("uid").agg(F.sum("term").alias("sum"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -146,14 +160,24 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if labelled is None:
         labelled = parts.where("r is not null").select("id", "url", (F.col("r.verdict") == "allow").cast("int").alias("side"))
     known = labelled.where("url is not null").withColumn("test", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5 == 0)
-    model = learn(known.where("not test"))
-    if model is None:
+    p = F.struct("id", "host", "path", "r")
+    kind = parts.select(p.alias("p")).schema["p"].dataType
+    todo = parts.select("url", p.alias("p"), F.lit(None).cast("int").alias("side")).unionByName(known.where("test").select("url", F.lit(None).cast(kind).alias("p"), "side"))
+    todo, _ = written(todo.withColumn("uid", F.monotonically_increasing_id()), "urls")
+    counted = count_windows(todo.select("url", F.lit(-1).alias("side")).unionByName(known.where("not test").select("url", "side")))
+    windows, windows_path = written(counted, "windows")
+    totals = windows.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    if not all(totals):
         judged, threshold = parts.withColumn("score", F.lit(0.0)), 0.0
     else:
-        data = model.tobytes()
-        threshold = calibrate(map_arrow(known.where("test").select("url", "side"), _scored(data), "side int, score double"))
-        kind = parts.select(F.struct("id", "host", "path", "r").alias("p")).schema["p"].dataType.simpleString()
-        judged = map_arrow(parts.select("url", F.struct("id", "host", "path", "r").alias("p")), _scored(data), f"p {kind}, score double").select("p.*", "score")
+        term, term_path = written(terms(windows, totals), "terms")
+        sums, _ = written(score(todo, term), "url-sums")
+        forget(todo.sparkSession, term_path)
+        length = F.greatest(F.octet_length(F.coalesce("url", F.lit(""))), F.lit(1))
+        scored = todo.join(sums, "uid", "left").withColumn("score", F.coalesce(F.col("sum") / F.lit(float(UNIT)) / length, F.lit(0.0)))
+        threshold = calibrate(scored.where("p is null").select("side", "score"))
+        judged = scored.where("p is not null").select("p.*", "score")
+    forget(todo.sparkSession, windows_path)
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return judged.select(
         "id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), by_model).alias("verdict"),

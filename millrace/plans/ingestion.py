@@ -19,7 +19,7 @@ def text_forms(spark, sf_dir):
     sha = lambda c: F.sha2(c, 256)
     return d.select(
         "doc_id", sha(tx.flatten(F.col("text"))).alias("flat"), sha(tx.dedup_form(F.col("text"))).alias("dedup"), sha(tx.answer_form(F.col("text"))).alias("answer"),
-        sha(tx.section_form(F.col("text"))).alias("section"), sha(tx.question_form(F.col("text"))).alias("question"), F.substring(tx.safe_filename(F.col("text")), 1, 40).alias("file"),
+        sha(tx.section_form(F.col("text"))).alias("section"), sha(tx.question_form(F.col("text"))).alias("question"), sha(tx.safe_filename(F.col("text"))).alias("file"),
         tx.word_count(F.col("text")).cast("long").alias("words"), s.token_estimate(F.col("text")).cast("long").alias("tokens"),
     )
 

@@ -4,7 +4,7 @@ import hashlib
 from collections import defaultdict
 from math import log2
 
-from millrace.plans import evaluation
+from millrace.plans import evaluation, ingestion
 
 
 def test_retrieval_metrics_rank_all_vectors(spark, tmp_path):
@@ -38,3 +38,10 @@ def test_tool_metrics_and_calculator_read_all_rows(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_partkey: (r.success, r.result) for r in evaluation.calculator(spark, str(tmp_path)).collect()}
     assert got == {i: (True, round((n + 2) * 3 - n / 4 // 1 % 7, 6)) for i, n in parts}
+
+
+def test_text_forms_tell_long_file_names_apart(spark, tmp_path):
+    texts = ["word " * 30 + "a", "word " * 30 + "b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.file for r in ingestion.text_forms(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [hashlib.sha256(t.replace(" ", "_").encode()).hexdigest() for t in texts]

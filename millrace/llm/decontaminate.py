@@ -15,7 +15,8 @@ positions, and what passes the bounds is joined with the word arrays by document
 
 Edge cases: null and empty texts have no words (n_words 0, not contaminated);
 items without words have no window; repeated items count under each item_id;
-a null item_id is ignored; rows that repeat a document's id and text give one
+an item with a null item_id is ignored, or with ``null_items`` counts as any other,
+with a null at the end of the items; rows that repeat a document's id and text give one
 row each; null document ids are kept; other columns are ignored.
 """
 
@@ -38,11 +39,11 @@ def word_array(text) -> object:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def _windows(items: DataFrame, size: int) -> DataFrame:
-    """(words, items): distinct windows, each with the sorted ids of the items that have it."""
-    w = items.select("item_id", word_array(F.col("text")).alias("w")).where("item_id is not null and size(w) > 0")
+def _windows(items: DataFrame, size: int, null_items: bool) -> DataFrame:
+    """(words, items): distinct windows, each with the ids of the items that have it."""
+    w = items.select("item_id", word_array(F.col("text")).alias("w")).where("size(w) > 0" if null_items else "item_id is not null and size(w) > 0")
     at = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))).alias("i"))
-    return at.select("item_id", F.slice("w", F.col("i"), size).alias("words")).groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    return at.select("item_id", F.slice("w", F.col("i"), size).alias("words")).groupBy("words").agg(F.flatten(F.collect_set(F.array(F.col("item_id").cast("string")))).alias("items"))
 
 
 def _prefixed(windows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -56,10 +57,10 @@ def _prefixed(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return windows.join(ranked, "words").select("words", "items", F.col("p.word").alias("word"), F.col("p.offset").alias("offset"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = WINDOW, null_items: bool = False) -> DataFrame:
     """(id, n_words, n_hit, items) per document row; ``items``: sorted ids of items with a window in the text."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    windows = _prefixed(_windows(items.select("item_id", "text"), size), d)
+    windows = _prefixed(_windows(items.select("item_id", "text"), size, null_items), d)
     windows, _ = written(windows.select("words", "items", "word", "offset", F.size("words").alias("n")), "windows")
     own = d.select("id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("fp"), word_array(F.col("text")).alias("w"))
     # the empty word at the end meets a window of its own, so that every row gives a row
@@ -91,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document, and whether they cover a twentieth of it."""
-    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), null_items=True)
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),

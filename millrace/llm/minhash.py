@@ -15,7 +15,8 @@ probability 8e-6, and a pair of similarity 0.3 shares one with probability 0.004
 Edge cases: null and empty texts and texts of white space have no shingles and
 are linked with nothing (n_shingles 0, own component, kept); rows with a null id
 come back with null component_id and kept = true; repeated rows of one id give
-one row each and count as one document; other columns are ignored.
+one row each, with equal texts as one document, with unequal texts as documents
+of the same id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,8 +127,10 @@ def _sets(size: int):
     def run(batches):
         words = _Words()
         for batch in batches:
-            sets = [shingle_hashes(t.as_py(), size, words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [shingle_hashes(t.as_py(), size, words) for t in batch.column(1)]
+            # of several texts under one id, the one that the node stands for
+            own = [k for k, (h, fp) in enumerate(zip(sets, batch.column(2).to_pylist())) if xxhash.xxh3_128_digest(h.tobytes()) == fp]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].view(np.int64) for k in own], pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
 
@@ -185,21 +188,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows_in.schema["id"].dataType.simpleString()
     seen, seen_path = written(map_arrow(rows_in, _sketches(shingle, bands, rows), f"id {kind}, n_shingles long, fp binary, keys array<long>"), "sketches")
-    # equal sets are one node, named after their smallest id
-    nodes = seen.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"))
+    # equal sets are one node with a number of its own, as an id can have several sets
+    nodes = seen.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id())
     nodes, nodes_path = written(nodes, "nodes")
     buckets = (
-        nodes.select("node").join(seen.select(F.col("id").alias("node"), "keys", "fp", "n_shingles"), "node")
-        .dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("tag"), F.explode("keys").alias("key"))
+        nodes.join(seen.select("id", "fp", "keys", "n_shingles"), ["id", "fp"])
+        .dropDuplicates(["id", "fp"]).select("node", F.col("n_shingles").alias("tag"), F.explode("keys").alias("key"))
     )
     buckets, buckets_path = written(buckets, "bands")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets, shared_path = written(buckets.join(shared, "key", "left_semi"), "shared-bands")
     forget(spark, buckets_path)
     # the full sets of those nodes that share a bucket with another
-    wanted = buckets.select("node").distinct()
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
     full, full_path = written(
-        map_arrow(rows_in.withColumnRenamed("id", "node").join(wanted, "node", "left_semi"), _sets(shingle), f"node {kind}, shingles array<long>").dropDuplicates(["node"]),
+        map_arrow(rows_in.join(wanted, "id").select("node", "text", "fp"), _sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]),
         "sets",
     )
 
@@ -218,7 +221,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = link_buckets(buckets, confirm, lambda live: _settle(live, full, percent))
     forget(spark, full_path)
     forget(spark, shared_path)
-    groups = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    linked = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("fp", "id", "component")
+    named = linked.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    groups = linked.join(named, "component", "left").select("fp", F.coalesce("least", "id").alias("component"))
     return seen.select("id", "n_shingles", "fp").join(groups, "fp", "left").select(
         "id", "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),

@@ -98,3 +98,7 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to say."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
+
+def fits(df: DataFrame, most: int, width: str) -> bool:
+    """Whether the rows of ``df``, of ``width`` bytes each (SQL), take at most ``most`` bytes; a sum that combines before the shuffle."""
+    return (df.agg(F.sum(F.expr(width)).alias("b")).first().b or 0) <= most

@@ -18,8 +18,8 @@ MAX_ROUNDS = 60
 
 
 def _state(df: DataFrame) -> tuple:
-    row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first()
-    return row[0], row[1]
+    """Two numbers that tell one edge list from another; xor cannot overflow, and no edge occurs twice."""
+    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -81,18 +81,20 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.where("a <> b").distinct()
 
 
-def link_buckets(buckets: DataFrame, confirm, settle=None, rounds: int = 1) -> DataFrame:
+def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_over: int = 64) -> DataFrame:
     """(id, component) of the relation that ``confirm`` holds, over nodes that share a bucket.
 
     ``buckets`` has (key, node, tag), the tag a fact about the node that spares
     ``confirm`` a join; ``confirm`` takes (a, ta, b, tb) and returns the (a, b) that
-    are linked. Each round ties every member of a bucket to one head only,
+    are linked. A round ties every member of a bucket to one head only,
     confirms these, and contracts; a bucket whose members then lie in one
     component can add nothing and goes, and so does each head, which has met
-    all members. In the few buckets left, members of different components are
-    held against each other, so that no link is lost: by ``settle``, which takes
-    (key, node, component) and returns links (a, b), or by a join and ``confirm``.
-    Nodes without a link are not in the result.
+    all members. With ``split``, which takes the tag's name and returns an array,
+    buckets of over ``split_over`` members that are left are dealt anew by its
+    elements, and a second round follows. In the few buckets left, members of
+    different components are held against each other, so that no link is lost:
+    by ``settle``, which takes (key, node, component) and returns links (a, b), or
+    by a join and ``confirm``. Nodes without a link are not in the result.
     """
     spark = buckets.sparkSession
     live, live_path = written(buckets.select("key", "node", "tag").distinct(), "buckets")
@@ -105,21 +107,30 @@ def link_buckets(buckets: DataFrame, confirm, settle=None, rounds: int = 1) -> D
         links = new if links is None else links.unionByName(new)
         return connected_components(links)
 
-    for _ in range(rounds):
-        found = linked(confirm(star_pairs(live)))
-        heads = live.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 2")
+    def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Members but heads of the buckets that hold several components."""
+        heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 2")
         rest = (
-            live.select("key", "node", "tag").join(heads, "key").where("node <> head").select("key", "node", "tag")
+            rows.select("key", "node", "tag").join(heads, "key").where("node <> head").select("key", "node", "tag")
             .join(found.withColumnRenamed("id", "node"), "node", "left")
             .select("key", "node", "tag", F.coalesce("component", "node").alias("component"))
         )
-        mixed = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-        new, new_path = written(rest.join(mixed, "key", "left_semi"), "buckets")
-        forget(spark, live_path)
-        live, live_path = new, new_path
-        if live.isEmpty():
-            break
-    else:
+        spread = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("key", "n")
+        new, path = written(rest.join(spread, "key"), "buckets")
+        paths.append(path)
+        return new
+
+    found = linked(confirm(star_pairs(live)))
+    live = mixed(live, found)
+    if split is not None and not (crowded := live.where(F.col("n") > split_over)).isEmpty():
+        anew = crowded.select(F.xxhash64("key", F.lit(0)).alias("old"), "node", "tag", F.explode(split("tag")).alias("part")).select(F.xxhash64("old", "part").alias("key"), "node", "tag")
+        anew, path = written(anew, "buckets")
+        paths.append(path)
+        found = linked(confirm(star_pairs(anew)))
+        few = live.where(F.col("n") <= split_over).drop("component", "n").join(found.withColumnRenamed("id", "node"), "node", "left")
+        few = few.select("key", "node", "tag", F.coalesce("component", "node").alias("component"))
+        live = few.unionByName(mixed(anew, found).drop("n"))
+    if not live.isEmpty():
         if settle is not None:
             found = linked(settle(live))
         else:

@@ -14,7 +14,8 @@ Edge cases: null role or text counts as empty; turns are ordered by turn (nulls
 first), role and text, and repeated rows are repeated turns; rows with null
 conv_id are ignored; a conversation whose partner has no turns has an empty
 prompt and the partner's completion is empty; equal conversations have empty
-completions; pairs with a null member are ignored; other columns are ignored.
+completions; pairs with a null member are ignored; repeated pairs count once; two
+pairs of one null pair_id are one group of turns; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +32,10 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``conversations``: conv_id, turn, role, text. ``pairs``: pair_id, chosen_id, rejected_id.
     """
-    sides = pairs.where("chosen_id is not null and rejected_id is not null").select(
+    sides = pairs.where("chosen_id is not null and rejected_id is not null").select("pair_id", "chosen_id", "rejected_id").distinct().select(
         "pair_id", F.explode(F.array(F.struct(F.col("chosen_id").alias("conv_id"), F.lit(0).alias("side")), F.struct(F.col("rejected_id").alias("conv_id"), F.lit(1).alias("side")))).alias("s")
     ).select("pair_id", "s.conv_id", "s.side")
-    mark = r"<\|(im_start|im_end)\|>"
-    turns = conversations.where("conv_id is not null").select(
-        "conv_id", "turn",
-        F.regexp_replace(F.coalesce("role", F.lit("")), mark, "< |$1|>").alias("role"),
-        F.regexp_replace(F.coalesce("text", F.lit("")), mark, "< |$1|>").alias("text"),
-    )
+    turns = conversations.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.join(sides, "conv_id").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("all"))
     kind = "array<struct<role:string,text:string>>"
     side = "cast(transform(filter(all, x -> x.side = {}), x -> struct(x.role, x.text)) as " + kind + ")"
@@ -49,6 +45,9 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     both = both.withColumn("n_prefix", F.least("n_prefix", F.size("c"), F.size("r")).cast("int"))
 
     def shown(name: str) -> str:
+        """Rendered turns; turns are compared as they are, and markers are broken only here."""
+        safe = r"regexp_replace(x.{}, r'<\|(im_start|im_end)\|>', '< |$1|>')"
+        name = f"transform({name}, x -> struct({safe.format('role')} as role, {safe.format('text')} as text))"
         return f"transform({name}, x -> struct(x.role = 'assistant' as loss, concat('<|im_start|>', x.role, '\\n', x.text, '<|im_end|>\\n') as s, length(x.role) + 13 as head))"
 
     parts = both.select(
@@ -92,15 +91,18 @@ def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH t AS (
   SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn,
-    regexp_replace(coalesce(role, ''), '<\|(im_start|im_end)\|>', '< |\1|>', 'g') AS role, regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1|>', 'g') AS text
+    coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), g AS (
   SELECT pair_id, coalesce(list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (side = 0), []) AS c,
     coalesce(list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (side = 1), []) AS r FROM t GROUP BY pair_id
 ), n AS (
   SELECT *, CAST(len(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[1:i] = r[1:i])) AS INTEGER) AS n_prefix FROM g
+), x AS (
+  SELECT pair_id, n_prefix, list_transform(c, lambda x: {'role': regexp_replace(x.role, '<\|(im_start|im_end)\|>', '< |\1|>', 'g'), 'text': regexp_replace(x.text, '<\|(im_start|im_end)\|>', '< |\1|>', 'g')}) AS c,
+    list_transform(r, lambda x: {'role': regexp_replace(x.role, '<\|(im_start|im_end)\|>', '< |\1|>', 'g'), 'text': regexp_replace(x.text, '<\|(im_start|im_end)\|>', '< |\1|>', 'g')}) AS r FROM n
 ), s AS (
-  SELECT pair_id, n_prefix, CAST(len(c) AS INTEGER) AS n_chosen, CAST(len(r) AS INTEGER) AS n_rejected, c[1:n_prefix] AS p, c[n_prefix + 1 :] AS c, r[n_prefix + 1 :] AS r FROM n
+  SELECT pair_id, n_prefix, CAST(len(c) AS INTEGER) AS n_chosen, CAST(len(r) AS INTEGER) AS n_rejected, c[1:n_prefix] AS p, c[n_prefix + 1 :] AS c, r[n_prefix + 1 :] AS r FROM x
 ), q AS (
   SELECT *, list_transform(c, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS cs,
     list_transform(r, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS rs,

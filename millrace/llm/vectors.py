@@ -14,7 +14,9 @@ distance. Recall is therefore that of brute force, whatever the sample of at mos
 ``sample`` vectors that centroids and codebooks are fitted to.
 
 Every vector is indexed and every vector is a query. A list of a label goes in
-blocks of about ``BLOCK`` vectors; queries visit each block in a task of its own.
+blocks of about ``BLOCK`` vectors, and so do the queries that visit it; each pair of
+blocks is a task's group of its own, so none grows with the data. The number of
+lists follows the square root of the number of vectors.
 A task returns the number of links of each query and, for connectivity, one edge
 a vector to its local group, never the pairs.
 
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import forget, map_arrow, read_table, ship, written
 from .components import connected_components
 
-THRESHOLD, SAMPLE, LISTS, PARTS, BLOCK = 0.98, 20_000, 128, 8, 4096
+THRESHOLD, SAMPLE, PARTS, BLOCK = 0.98, 20_000, 8, 4096
+#: Fewest and most lists.
+LISTS = (16, 1024)
 SLACK = 1e-9
 
 
@@ -57,7 +61,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
 class Quantiser:
     """Centroids and codebooks for unit vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, lists: int = LISTS, parts: int = PARTS):
+    def __init__(self, sample: np.ndarray, lists: int, parts: int = PARTS):
         self.centroids = kmeans(sample, min(lists, len(sample)))
         self.cuts = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
         rest = sample - self.centroids[self.assign(sample)]
@@ -167,7 +171,7 @@ def _search(model: Quantiser, dim: int, threshold: float, reach: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD, sample: int = SAMPLE, lists: int = LISTS, parts: int = PARTS) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD, sample: int = SAMPLE, lists: int | None = None, parts: int = PARTS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row; ids must be integers."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
@@ -177,21 +181,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     points, points_path = written(points, "points")
     edges = counts = None
     paths = []
-    for dim in sorted(r[0] for r in points.select("fp.dim").distinct().collect()):
+    for dim, many in sorted(tuple(r) for r in points.groupBy("fp.dim").count().collect()):
         own = points.where(F.col("fp.dim") == dim).select("fp.label", "point", "m", "v")
         # a bounded sample in the order of a hash
         fit = own.select("point", "v").orderBy(F.xxhash64("point"), "point").limit(sample).toArrow()
-        model = Quantiser(_matrix(fit["v"], dim), lists, parts)
+        model = Quantiser(_matrix(fit["v"], dim), lists or min(max(round(many**0.5), LISTS[0]), LISTS[1]), parts)
         reach = float(np.sqrt(2 - 2 * threshold))
         kind = own.schema["label"].dataType.simpleString()
         index, path = written(map_arrow(own, _index(model, dim, reach), f"label {kind}, point long, m long, v array<double>, cell int, query boolean, codes binary, error double"), "index")
         paths.append(path)
-        sizes = index.where("not query").groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
-        dealt = index.join(sizes, ["label", "cell"]).withColumn(
-            "block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.pmod(F.xxhash64("point"), F.col("g")).cast("int"))))
-        ).drop("g")
+        per = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(side) / BLOCK)).cast("int")
+        sizes = index.groupBy("label", "cell").agg(per(~F.col("query")).alias("g"), per(F.col("query")).alias("h"))
+        own_block = lambda n: F.array(F.pmod(F.xxhash64("point"), n).cast("int"))
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        dealt = index.join(sizes, ["label", "cell"])
+        dealt = dealt.withColumn("i", F.explode(F.when(F.col("query"), every("g")).otherwise(own_block(F.col("g"))))).withColumn("o", F.explode(F.when(F.col("query"), own_block(F.col("h"))).otherwise(every("h")))).drop("g", "h")
         ship(spark)
-        hits = dealt.groupBy("label", "cell", "block").applyInArrow(_search(model, dim, threshold, reach), "point long, n long, root long")
+        hits = dealt.groupBy("label", "cell", "i", "o").applyInArrow(_search(model, dim, threshold, reach), "point long, n long, root long")
         hits, path = written(hits, "hits")
         paths.append(path)
         edges = hits.select("point", "root") if edges is None else edges.unionByName(hits.select("point", "root"))

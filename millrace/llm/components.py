@@ -9,7 +9,7 @@ a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import forget, written
@@ -17,9 +17,11 @@ from .common import forget, written
 MAX_ROUNDS = 60
 
 
-def _state(df: DataFrame) -> tuple:
-    """Two numbers that tell one edge list from another; xor cannot overflow, and no edge occurs twice."""
-    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _written_edges(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """``df`` written, and two numbers that tell one edge list from another, taken while writing; xor cannot overflow, and no edge occurs twice."""
+    seen = Observation()
+    new, path = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return new, path, (seen.get["n"], seen.get["x"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,8 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select("u", "v")
         .distinct()
     )
-    star, path = written(star, "edges")
-    before = _state(star)
+    star, path, before = _written_edges(star)
     if not before[0]:
         return star.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
@@ -60,8 +61,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .where("u <> v")
             .distinct()
         )
-        new, new_path = written(small, "edges")
-        after = _state(new)
+        new, new_path, after = _written_edges(small)
         forget(spark, path)
         star, path = new, new_path
         if after == before:
@@ -86,57 +86,52 @@ def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_ove
 
     ``buckets`` has (key, node, tag), the tag a fact about the node that spares
     ``confirm`` a join; ``confirm`` takes (a, ta, b, tb) and returns the (a, b) that
-    are linked. A round ties every member of a bucket to one head only,
-    confirms these, and contracts; a bucket whose members then lie in one
-    component can add nothing and goes, and so does each head, which has met
-    all members. With ``split``, which takes the tag's name and returns an array,
-    buckets of over ``split_over`` members that are left are dealt anew by its
-    elements, and a second round follows. In the few buckets left, members of
-    different components are held against each other, so that no link is lost:
-    by ``settle``, which takes (key, node, component) and returns links (a, b), or
-    by a join and ``confirm``. Nodes without a link are not in the result.
+    are linked. Every member of a bucket is tied to one head only, these ties are
+    confirmed, and components are found; a bucket whose members then lie in one
+    component can add nothing and goes, and so does each head, which has met all
+    members. In the few buckets left, members of different components are held
+    against each other, so that no link is lost: by ``settle``, which takes
+    (key, node, component) and returns links (a, b), or by a join and ``confirm``.
+
+    With ``split``, which takes the tag's name and returns an array, members of a
+    bucket of over ``split_over`` are dealt to smaller ones by its elements; they
+    are tied in both, but held against each other in the smaller ones only.
+    Nodes without a link are not in the result.
     """
     spark = buckets.sparkSession
     live, live_path = written(buckets.select("key", "node", "tag").distinct(), "buckets")
-    links, paths = None, []
+    paths = [live_path]
 
-    def linked(df: DataFrame) -> DataFrame:
-        nonlocal links
-        new, path = written(df, "links")
-        paths.append(path)
-        links = new if links is None else links.unionByName(new)
-        return connected_components(links)
-
-    def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Members but heads of the buckets that hold several components."""
-        heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 2")
-        rest = (
-            rows.select("key", "node", "tag").join(heads, "key").where("node <> head").select("key", "node", "tag")
-            .join(found.withColumnRenamed("id", "node"), "node", "left")
-            .select("key", "node", "tag", F.coalesce("component", "node").alias("component"))
-        )
-        spread = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("key", "n")
-        new, path = written(rest.join(spread, "key"), "buckets")
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        new, path = written(df, name)
         paths.append(path)
         return new
 
-    found = linked(confirm(star_pairs(live)))
-    live = mixed(live, found)
-    if split is not None and not (crowded := live.where(F.col("n") > split_over)).isEmpty():
-        anew = crowded.select(F.xxhash64("key", F.lit(0)).alias("old"), "node", "tag", F.explode(split("tag")).alias("part")).select(F.xxhash64("old", "part").alias("key"), "node", "tag")
-        anew, path = written(anew, "buckets")
-        paths.append(path)
-        found = linked(confirm(star_pairs(anew)))
-        few = live.where(F.col("n") <= split_over).drop("component", "n").join(found.withColumnRenamed("id", "node"), "node", "left")
-        few = few.select("key", "node", "tag", F.coalesce("component", "node").alias("component"))
-        live = few.unionByName(mixed(anew, found).drop("n"))
-    if not live.isEmpty():
+    ties = live
+    if split is not None:
+        crowds = kept(live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_over).select("key"), "crowds")
+        if not crowds.isEmpty():
+            dealt = live.join(crowds, "key").select(F.xxhash64("key", F.lit(0)).alias("old"), "node", "tag", F.explode(split("tag")).alias("part"))
+            dealt = kept(dealt.select(F.xxhash64("old", "part").alias("key"), "node", "tag"), "buckets")
+            ties = live.unionByName(dealt)
+            live = live.join(crowds, "key", "left_anti").unionByName(dealt)
+    links = kept(confirm(star_pairs(ties)), "links")
+    found = connected_components(links)
+    heads = live.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 2")
+    rest = (
+        live.join(heads, "key").where("node <> head").select("key", "node", "tag").join(found.withColumnRenamed("id", "node"), "node", "left")
+        .select("key", "node", "tag", F.coalesce("component", "node").alias("component"))
+    )
+    mixed = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    rest = kept(rest.join(mixed, "key", "left_semi"), "buckets")
+    if not rest.isEmpty():
         if settle is not None:
-            found = linked(settle(live))
+            more = settle(rest)
         else:
-            left = live.select("key", F.col("node").alias("a"), F.col("tag").alias("ta"), F.col("component").alias("ca"))
-            right = live.select("key", F.col("node").alias("b"), F.col("tag").alias("tb"), F.col("component").alias("cb"))
-            found = linked(confirm(left.join(right, "key").where("ca < cb").select("a", "ta", "b", "tb").distinct()))
-    for path in (*paths, live_path):
+            left = rest.select("key", F.col("node").alias("a"), F.col("tag").alias("ta"), F.col("component").alias("ca"))
+            right = rest.select("key", F.col("node").alias("b"), F.col("tag").alias("tb"), F.col("component").alias("cb"))
+            more = confirm(left.join(right, "key").where("ca < cb").select("a", "ta", "b", "tb"))
+        found = connected_components(links.unionByName(kept(more, "links")))
+    for path in paths:
         forget(spark, path)
     return found

@@ -27,7 +27,7 @@ def text_forms(spark, sf_dir):
 FORMS_SQL = rf"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(173), ''), '([\p{{L}}\p{{N}}_])-\s*\n\s*([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, sha256(trim(regexp_replace(t, '{_S}+', ' ', 'g'))) AS flat, sha256(trim(regexp_replace(regexp_replace(lower(text), '{_S}+', ' ', 'g'), '[^\p{{L}}\p{{N}}_ ]', '', 'g'))) AS dedup,
   sha256(trim(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '{_S}+', ' ', 'g'))) AS answer, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS section,
-  sha256(trim(regexp_replace(lower(text), '{_S}+', ' ', 'g'))) AS question, substr(coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'report'), 1, 40) AS file,
+  sha256(trim(regexp_replace(lower(text), '{_S}+', ' ', 'g'))) AS question, sha256(coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'report')) AS file,
   len(list_filter(string_split_regex(text, '{_S}+'), lambda x: x <> '')) AS words, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM c"""
 
 

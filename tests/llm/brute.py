@@ -3,9 +3,6 @@
 import hashlib
 from collections import defaultdict
 
-import numpy as np
-import xxhash
-
 
 def components(nodes, links):
     parent = {n: n for n in nodes}
@@ -38,39 +35,57 @@ def near_duplicates(docs, size, percent=80):
 
 
 def levenshtein(a, b):
-    row = np.arange(len(b) + 1)
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    steps = np.arange(len(b) + 1)
-    for i, c in enumerate(np.frombuffer(a.encode("utf-32-le"), np.uint32), 1):
-        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (y != c))))
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row[-1])
-
-
-def simhash(words):
-    words = sorted(set(words))
-    h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64)
-    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    return sum(1 << int(k) for k in np.flatnonzero(2 * bits.sum(axis=0) > len(words)))
-
-
-def dedup_lines(docs, min_words=5, radius=3, percent=80):
-    """[(id, text without repeats, removed)]; ids are distinct and not null."""
+    """Edit distance by columns of bits (Myers), in whole numbers of any length."""
+    if not a or not b:
+        return len(a) + len(b)
+    at = defaultdict(int)
+    for i, c in enumerate(a):
+        at[c] |= 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, d = full, 0, len(a)
+    for c in b:
+        eq = at[c]
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = (down | ~(diagonal | up)) & full, up & diagonal
+        d += bool(right & top) - bool(left & top)
+        right, left = ((right << 1) | 1) & full, (left << 1) & full
+        up, down = (left | ~(diagonal | right)) & full, right & diagonal
+    return d
+
+
+def similar(a, b, percent=80):
+    most = (100 - percent) * max(len(a), len(b)) // 100
+    return abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most
+
+
+def line_places(docs):
     places = defaultdict(list)
     for i, t in docs:
         for pos, line in enumerate((t or "").split("\n")):
-            words = [w for w in line.lower().split(" ") if w]
-            if t is not None and len(words) >= min_words:
+            if t is not None and (words := line.lower().split()):
                 places[" ".join(words)].append((i, pos))
+    return places
+
+
+def line_links(norms, percent=80, rare=None):
+    """Pairs of an edit similarity; with ``rare``, of lines that are short or share a word that at most so many lines have."""
+    if rare is None:
+        pairs = {(x, y) for x in range(len(norms)) for y in range(x + 1, len(norms))}
+    else:
+        having = defaultdict(list)
+        for k, n in enumerate(norms):
+            for w in set(n.split(" ")):
+                having[w].append(k)
+        short = [k for k, n in enumerate(norms) if len(n) < 40]
+        pairs = {(x, y) for ks in [*(v for v in having.values() if len(v) <= rare), short] for x in ks for y in ks if x < y}
+    return [(x, y) for x, y in pairs if similar(norms[x], norms[y], percent)]
+
+
+def dedup_lines(docs, percent=80, rare=None):
+    """[(id, text without repeats, removed)] by edit similarity alone; ids are distinct and not null."""
+    places = line_places(docs)
     norms = sorted(places)
-    hashes = [simhash(n.split(" ")) for n in norms]
-    links = []
-    for x in range(len(norms)):
-        for y in range(x + 1, len(norms)):
-            a, b = norms[x], norms[y]
-            if (hashes[x] ^ hashes[y]).bit_count() <= radius and levenshtein(a, b) <= (100 - percent) * max(len(a), len(b)) // 100:
-                links.append((x, y))
-    group = components(range(len(norms)), links)
+    group = components(range(len(norms)), line_links(norms, percent, rare))
     keep = {}
     for k, n in enumerate(norms):
         keep[group[k]] = min([keep[group[k]], *places[n]] if group[k] in keep else places[n])

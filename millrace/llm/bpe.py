@@ -64,7 +64,7 @@ class BytePairEncoder:
         self.letters = byte_alphabet()
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.known: dict[str, bytes] = {}
 

@@ -30,11 +30,13 @@ from .common import map_arrow, read_table, ship
 
 DIMENSIONS, SEED, FIXED = 1024, 7, 1 << 20
 _TABLE_ROWS, _CHUNK = 16_000, 4096
+#: A letter from U+0180 on is two symbols: its block of 128 code points (modulo this number) and its place there.
+_BLOCKS, _PLACES = 32, 128
 
 
 @functools.lru_cache(1)
 def _classes() -> tuple[np.ndarray, int]:
-    """Letter class by code point below U+0180 (0: no letter), and the first of 32 classes for letters above."""
+    """Letter class by code point below U+0180 (0: no letter), and the first of the classes for letters above."""
     table, n = np.zeros(0x180, np.int64), 0
     for cp in range(0x180):
         if chr(cp).isalpha() and chr(cp).lower() == chr(cp):
@@ -50,9 +52,12 @@ def letters(text: str) -> np.ndarray:
     low = cps < len(table)
     out = table[np.where(low, cps, 0)]
     if not low.all():
-        for cp in np.unique(cps[~low]):
-            if chr(cp).isalpha():
-                out[cps == cp] = high + int(cp) % 32
+        far = np.unique(cps[~low])
+        far = np.isin(cps, far[[chr(cp).isalpha() for cp in far]])
+        first = np.cumsum(1 + far) - 1 - far
+        out = np.repeat(out, 1 + far)
+        out[first[far]] = high + (cps[far] // _PLACES) % _BLOCKS
+        out[first[far] + 1] = high + _BLOCKS + cps[far] % _PLACES
     out = np.concatenate(([0], out, [0]))
     return out[np.concatenate(([True], (out[1:] > 0) | (out[:-1] > 0)))]
 
@@ -61,7 +66,7 @@ class Profiles:
     """Trigram vectors, made when first met and kept up to a bound."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        self.n = _classes()[1] + 32
+        self.n = _classes()[1] + _BLOCKS + _PLACES
         one = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (self.n, dimensions))
         self.parts = [np.roll(one, k, axis=1) for k in (2, 1, 0)]
         self.dimensions = dimensions

@@ -226,7 +226,7 @@ def classifier(code: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _result(accepted: frozenset[int]):
     def run(batches):
         for batch in batches:
-            counts, base_text, all_text = [], [], []
+            counts, base_text, all_text, total = [], [], [], []
             for spans in batch.column(1).to_pylist():
                 base = sorted((s["kind"], s["start"], s["end"]) for s in spans if s["base"])
                 more, end = [], 0
@@ -238,15 +238,16 @@ def _result(accepted: frozenset[int]):
                 show = lambda rows: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in rows)
                 base_text.append(show(base))
                 all_text.append(show(sorted(base + more)))
+                total.append(len(base) + len(more))
             columns = [pa.array([c[x] for c in counts], pa.int64()) for x in range(len(KINDS))]
             digest = [hashlib.sha256(t.encode()).hexdigest() for t in base_text]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digest, pa.string()), pa.array(all_text, pa.string())], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digest, pa.string()), pa.array(all_text, pa.string()), pa.array(total, pa.int64())], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, accept: float = ACCEPT) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans); counts and digest are of base spans."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans); the counts by kind and the digest are of base spans, ``n_spans`` counts all."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found, _ = written(map_arrow(rows, _scan, f"id {kind}, spans array<struct<kind:int,start:int,end:int,code:int,base:boolean>>"), "pii-candidates")
@@ -254,7 +255,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     code, count = np.array([r["code"] for r in seen], int), np.array([r["count"] for r in seen], int)
     p = classifier(code, count) if len(code) else np.empty(0)
     accepted = frozenset(int(c) for c in code[p >= accept])
-    return map_arrow(found, _result(accepted), f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return map_arrow(found, _result(accepted), f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_spans long")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

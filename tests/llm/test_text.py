@@ -92,6 +92,26 @@ def test_language_id_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_language_id_tells_letters_of_other_scripts():
+    """Letters beyond Latin keep apart: no two of a script, and no two scripts, give the same symbols."""
+    seen = {}
+    for a, b in ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x4E00, 0x4E7F)):
+        for cp in range(a, b + 1):
+            if chr(cp).isalpha() and chr(cp).lower() == chr(cp):
+                key = tuple(langid.letters(chr(cp)).tolist())
+                assert key not in seen, (cp, seen[key])
+                seen[key] = cp
+    assert langid.letters("aя漢b").tolist()[0] == 0 and len(langid.letters("aя漢b")) == 2 + 2 + 4
+
+
+def test_language_id_on_scripts_with_ties_and_repeats(spark):
+    train = [("αυτο ειναι ενα κειμενο", "el"), ("это простой текст на русском", "ru"), ("זה טקסט פשוט בעברית", "he"), ("the plain text is here", "en")]
+    rows = [(i, t, g) for i, (t, g) in enumerate(train)] + [(None, "это текст", None), (9, "ενα κειμενο", None), (9, "ενα κειμενο", None), (8, "text " * 50_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.row.doc_id, r.lang_pred) for r in langid.identify(df, langid.learn(df)).collect()]
+    assert got == [(0, "el"), (1, "ru"), (2, "he"), (3, "en"), (None, "ru"), (9, "el"), (9, "el"), (8, "en")]
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
@@ -118,6 +138,31 @@ def test_pii_rows(spark):
     assert pii.find_personal_data(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_added_spans_against_planted_ones(spark):
+    """Looser written forms among look-alikes: figures of what the method adds to the base spans."""
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    plant = {
+        "email": lambda: f"mail to {name()} (at) {name()}.{rng.choice(['com', 'de', 'org'])} please", "phone": lambda: f"call ({number(3)}) {number(3)}-{number(4)} today",
+    }
+    noise = [lambda: f"version {number(2)}.{number(3)} of part {number(5)}", lambda: f"in {number(4)} there were {number(3)} of them", lambda: f"token {number(16)} and id {number(12)}"]
+    rows, want = [], {}
+    for i in range(900):
+        kind = rng.choice([*plant, None])
+        rows.append((i, plant[kind]() if kind else rng.choice(noise)()))
+        want[i] = kind
+    rows += [(1000 + i, f"write {name()}@{name()}.com or call +1 ({number(3)}) {number(3)}-{number(4)}") for i in range(300)]  # base spans teach the labelers
+    got = {r.id: r for r in pii.find_personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    said = {i: {s.split(":")[0] for s in got[i].spans.split(",") if s} for i in want}
+    right = sum(k is not None and k in said[i] for i, k in want.items())
+    wrong = sum(bool(said[i]) for i, k in want.items() if k is None)
+    recall, precision = right / sum(k is not None for k in want.values()), right / max(1, right + wrong)
+    print("added spans: recall", round(recall, 3), "precision", round(precision, 3))
+    assert recall >= 0.8 and precision >= 0.9
+    assert all(got[i].n_spans == len([s for s in got[i].spans.split(",") if s]) for i in got)
+
+
 def test_em_follows_the_labelers():
     votes = [(1, 1, 1), (1, 1, 0), (-1, -1, -1), (-1, -1, 0), (1, -1, 0)]
     code = np.array([pii._code(0, v, "a.b@c.de") for v in votes])

@@ -185,10 +185,14 @@ def cover_density(tokens: Column, words: list[str]) -> Column:
     keeps the last place of each word; a cover ends at an occurrence if the
     earliest of the last places moved since the cover before.
     """
-    n = len(words)
-    if n == 0:
+    if not words:
         return F.lit(0.0)
     places = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), F.array_position(F.array(*map(F.lit, words)), F.coalesce(t, F.lit(""))).cast("int").alias("k"))), lambda x: x["k"] > 0)
+    return cover_density_of(places, len(words))
+
+
+def cover_density_of(places: Column, n: int) -> Column:
+    """Cover density from the places of ``n`` words in order: an array of struct (i: position, k: number of the word from 1)."""
     if n == 1:
         return F.size(places) * COVER_WEIGHT
     # each last place goes with its number among all occurrences, which tells how many lie inside a cover

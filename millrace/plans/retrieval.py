@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import simple_tokens
-from ..operators import dedup, search
+from ..functions.analysis import STOP_WORDS, simple_tokens
+from ..operators import dedup, index, search
 from ..operators.chunking import slices
 from ..sources import fixtures as fx
 
@@ -27,12 +29,12 @@ SHORT = ["document_id", "rank", "score", "content_type", "ticker", "report_year"
 
 def keyword_search(spark, sf_dir):
     """Two-word keyword search, top 10."""
-    return search.keyword_search(fx.retrieval_documents(spark, sf_dir), QUERY, 10).select(*SHORT)
+    return search.keyword_search(fx.retrieval_documents(spark, sf_dir), QUERY, 10, analyzer="simple").select(*SHORT)
 
 
 def keyword_search_filtered(spark, sf_dir):
     """R1 with P1: one word, ticker and year."""
-    return search.keyword_search(fx.retrieval_documents(spark, sf_dir), "the", 10, ticker="src1", report_year=2024).select(*SHORT)
+    return search.keyword_search(fx.retrieval_documents(spark, sf_dir), "the", 10, ticker="src1", report_year=2024, analyzer="simple").select(*SHORT)
 
 
 def vector_search(spark, sf_dir):
@@ -47,7 +49,7 @@ def vector_search_filtered(spark, sf_dir):
 
 def hybrid_search(spark, sf_dir):
     """Reciprocal rank fusion of 30 and 30, top 10."""
-    out = search.retrieve(_docs(spark, sf_dir), QUERY, mode="hybrid", vector=query_vector(spark, sf_dir))
+    out = search.retrieve(_docs(spark, sf_dir), QUERY, mode="hybrid", vector=query_vector(spark, sf_dir), analyzer="simple")
     return out.select("document_id", "rank", "rrf_score", "score", "keyword_rank", "vector_rank", "keyword_score", "vector_score")
 
 
@@ -90,7 +92,7 @@ FROM r WHERE rank <= 10"""
 
 def context_block(spark, sf_dir):
     """The context of the five best keyword results."""
-    return search.build_context(search.keyword_search(fx.retrieval_documents(spark, sf_dir), QUERY, 5))
+    return search.build_context(search.keyword_search(fx.retrieval_documents(spark, sf_dir), QUERY, 5, analyzer="simple"))
 
 
 CONTEXT_SQL = f"""WITH {fx.SQL['rd']}, {_KW} SELECT string_agg('[SOURCE ' || rank || ']' || chr(10) || 'Type: ' || content_type || chr(10) || 'Ticker: ' || ticker || chr(10) || 'Report year: ' || report_year || chr(10)
@@ -182,7 +184,7 @@ SELECT document_id, CAST(i AS INTEGER) AS slice, sha256(array_to_string(w[i * 40
 
 def result_display(spark, sf_dir):
     """Hybrid results as the table that a user sees."""
-    out = search.hybrid_search(_docs(spark, sf_dir), QUERY, query_vector(spark, sf_dir), 15)
+    out = search.hybrid_search(_docs(spark, sf_dir), QUERY, query_vector(spark, sf_dir), 15, analyzer="simple")
     score = F.coalesce("rrf_score", "score")
     label = F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(" "), F.col("ticker"), F.lit(" · "), F.col("report_year").cast("string"))
     return out.where(score.isNotNull()).select("rank", score.alias("score"), label.alias("label"), F.when(F.col("page_start") == F.col("page_end"), F.col("page_start").cast("string")).otherwise(F.concat_ws("–", "page_start", "page_end")).alias("pages"))
@@ -191,7 +193,65 @@ def result_display(spark, sf_dir):
 DISPLAY_SQL = HYBRID_SQL.partition("\nSELECT document_id")[0] + """
 SELECT CAST(rank AS INTEGER) AS rank, rrf_score AS score, '#' || rank || ' ' || ticker || ' · ' || report_year AS label, CAST(page_start AS VARCHAR) AS pages FROM r JOIN rd USING (document_id) WHERE rank <= 15"""
 
+#: Forms of the stems that the English queries ask for; the test prose has no others.
+_STEMS = {"er": "er eres ered ering", "tion": "tion tiones tioned tioning", "ed": "ed edes eded eding"}
+_STEMMED = r"""tok AS (
+  SELECT document_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM rd),
+all_tokens AS (SELECT document_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS pos FROM tok),""" + f"""
+lex AS (SELECT document_id, pos, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS dense, CASE {' '.join(f"WHEN t IN ({', '.join(repr(x) for x in forms.split())}) THEN '{stem}'" for stem, forms in _STEMS.items())} END AS t
+  FROM all_tokens WHERE t NOT IN ({', '.join(repr(w) for w in sorted(STOP_WORDS))})),
+occ AS (SELECT *, lag(t) OVER (PARTITION BY document_id ORDER BY pos) AS pt, lag(pos) OVER (PARTITION BY document_id ORDER BY pos) AS pp, lag(dense) OVER (PARTITION BY document_id ORDER BY pos) AS pd FROM lex WHERE t IN ('er', 'tion')),
+cover AS (SELECT document_id, count(DISTINCT t) AS n, bool_or(t = 'er') AS er, bool_or(t = 'tion') AS tion, coalesce(bool_or(pt = 'er' AND t = 'tion' AND dense = pd + 1), false) AS phrase, round(sum(CASE WHEN pt <> t THEN 0.1::DOUBLE / (pos - pp) ELSE 0 END), 9) AS score FROM occ GROUP BY 1),
+hit AS (SELECT document_id, score, row_number() OVER (ORDER BY score DESC, document_id) AS rank FROM cover WHERE {{}})"""
+
+
+def _english_sql(where: str) -> str:
+    return f"WITH {fx.SQL['rd']}, {_STEMMED.replace('{}', where)} SELECT {_SHORT} FROM hit JOIN rd USING (document_id) WHERE rank <= 10"
+
+
+def keyword_search_english(spark, sf_dir):
+    """Stems and stop words, over the texts."""
+    return search.keyword_search(fx.retrieval_documents(spark, sf_dir), "the ering tioned", 10).select(*SHORT)
+
+
+def _index(spark, sf_dir, analyzer):
+    e = fx.read(spark, sf_dir, "embeddings").select(F.concat(F.lit("narrative:"), F.col("vec_id").cast("string")).alias("document_id"), "embedding")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/index-{uuid.uuid4().hex}"
+    counts = index.build_index(fx.narratives(spark, sf_dir), fx.tables(spark, sf_dir), e, path, analyzer=analyzer)
+    return counts, index.load_index(spark, path, analyzer)
+
+
+def index_build(spark, sf_dir):
+    """Documents and postings written, read back and counted."""
+    counts, _ = _index(spark, sf_dir, "simple")
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
+BUILD_SQL = f"""WITH {fx.SQL['rd']}, {_POST} SELECT count(*) FILTER (content_type = 'narrative') AS narratives, count(*) FILTER (content_type = 'table') AS tables, count(*) AS documents, count(DISTINCT document_id) AS ids,
+  count(e.embedding) AS embeddings, (SELECT count(*) FROM (SELECT DISTINCT document_id, t FROM post)) AS postings FROM rd LEFT JOIN embeddings e ON rd.document_id = 'narrative:' || e.vec_id"""
+
+
+def index_search(spark, sf_dir):
+    """R1, X1 from the built index: two stems joined by AND."""
+    return index.search_index(_index(spark, sf_dir, "english")[1], "the ering tioned", 10).select(*SHORT)
+
+
+def index_search_phrase(spark, sf_dir):
+    """X1, P2 from the built index: a phrase, with a stop word between that does not count."""
+    return index.search_index(_index(spark, sf_dir, "english")[1], '"ered the tion"', 10).select(*SHORT)
+
+
+def index_search_or_minus(spark, sf_dir):
+    """X1, P2 from the built index: OR of a word and of a word without another."""
+    return index.search_index(_index(spark, sf_dir, "english")[1], "er or tiones -eding", 10).select(*SHORT)
+
+
 QUERIES = {
+    "keyword_search_english": (keyword_search_english, _english_sql("n = 2")),
+    "index_build": (index_build, BUILD_SQL),
+    "index_search": (index_search, _english_sql("n = 2")),
+    "index_search_phrase": (index_search_phrase, _english_sql("phrase")),
+    "index_search_or_minus": (index_search_or_minus, _english_sql("er OR (tion AND document_id NOT IN (SELECT document_id FROM lex WHERE t = 'ed'))")),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
     "keyword_search": (keyword_search, KEYWORD_SQL),
     "keyword_search_filtered": (keyword_search_filtered, KEYWORD_FILTERED_SQL),

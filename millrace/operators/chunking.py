@@ -18,7 +18,7 @@ from ..functions.text import word_slices
 from ..shipping import ship
 
 # Fixed values.
-TARGET, LEAST, OVERLAP, PARAGRAPH, TABLE_SHARE = 400, 80, 50, 180, 0.40
+TARGET, LEAST, OVERLAP, TABLE_SHARE = 400, 80, 50, 0.40
 
 SCHEMA = (
     "chunk_id string, report_id string, ticker string, report_year int, chunk_index int, section_title string, pdf_page_start int, pdf_page_end int, "
@@ -117,6 +117,11 @@ def chunk(paragraphs: DataFrame) -> DataFrame:
     return rows.groupBy("report_id").applyInPandas(_of_report, SCHEMA)
 
 
+def with_tables(chunks: DataFrame) -> DataFrame:
+    """(report_id, chunks, with_tables): how many chunks of each report hold tables."""
+    return chunks.groupBy("report_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("contains_table").alias("with_tables"))
+
+
 def slices(docs: DataFrame, size: int = TARGET) -> DataFrame:
     """(document_id, slice, text): fixed runs of words, as expressions."""
     return docs.select("document_id", F.posexplode(word_slices(F.col("text"), size)).alias("slice", "text"))

@@ -46,6 +46,11 @@ def drop_margins(blocks: DataFrame) -> DataFrame:
     return blocks.join(marks, (F.col("report_id") == F.col("__r")) & (margin_form(F.col("text")) == F.col("form")) & in_margin, "left_anti")
 
 
+def report_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """What is left of a report's blocks to read: no table regions, no running margins."""
+    return drop_margins(drop_table_blocks(blocks, tables))
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Adds ``place``, from 1 on each page: one column by (y, x), two as head, left, right, foot."""
     page = Window.partitionBy(*PAGE)

@@ -34,6 +34,24 @@ def latest_feedback(events: DataFrame) -> DataFrame:
     return ok.groupBy("response_id").agg(F.max_by("rating", F.struct("rated_at", "event_id")).alias("rating"), F.min("rated_at").alias("created_at"), F.max("rated_at").alias("updated_at"))
 
 
+def split_interactions(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(interactions, model calls) of finished requests whose calls are an array ``llm_calls``; calls are numbered from 0."""
+    calls = requests.select("response_id", "created_at", F.posexplode("llm_calls").alias("call_index", "c")).select("response_id", "call_index", "c.*", "created_at")
+    return requests.drop("llm_calls").withColumns({"status": F.lit("completed"), "judge_status": F.lit("pending")}), calls
+
+
+def failed_interactions(errors: DataFrame) -> DataFrame:
+    """Interactions of requests that failed: never judged, without ticker and year."""
+    return errors.withColumns({"status": F.lit("failed"), "judge_status": F.lit("not_run"), "ticker": F.lit(None).cast("string"), "report_year": F.lit(None).cast("int")})
+
+
+def judge_calls(judgements: DataFrame, calls: DataFrame) -> DataFrame:
+    """Model calls of judges, numbered after the calls that a response has; to append to ``calls``."""
+    last = calls.groupBy("response_id").agg(F.max("call_index").alias("last"))
+    rows = judgements.join(last, "response_id", "left").withColumn("call_index", (F.coalesce("last", F.lit(-1)) + 1).cast("int")).withColumn("purpose", F.lit("judge"))
+    return rows.select(*calls.columns)
+
+
 def apply_judgements(interactions: DataFrame, judgements: DataFrame) -> DataFrame:
     """Keyed update of score, reason and status from (response_id, score, status); rows without one keep their values."""
     j = judgements.select("response_id", F.col("score").alias("__s"), F.col("status").alias("__t"))

@@ -7,19 +7,54 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import report_id
 from ..operators.growth import SNAPSHOT
+from ..operators.validate import require_rows
+from . import schemas
 
 EXAMPLE = "id string, question string, reference_answer string, gold_source_ids array<string>, ticker string, report_year int, category string, expected_tools array<string>, metadata map<string, string>"
 
 
+def manifest(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """The reports to hold: company, ticker, report_year, filename, url, validate_year. A file named twice is an error."""
+    df = spark.createDataFrame(rows, schemas.MANIFEST)
+    names = [(r[1], r[2], r[3]) for r in rows]
+    if len(set(names)) < len(names):
+        raise ValueError("a report is in the manifest twice")
+    return df
+
+
+def missing_reports(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """Reports of the manifest without a valid file: what is left to fetch."""
+    return wanted.join(files.where("valid").select("ticker", "report_year", "filename"), ["ticker", "report_year", "filename"], "left_anti")
+
+
+def ordered_reports(reports: DataFrame) -> DataFrame:
+    """Reports by ticker, year and file name; an empty table or a row without a file is an error."""
+    require_rows(reports, "reports")
+    if not reports.where(F.coalesce("file_path", F.lit("")) == "").isEmpty():
+        raise ValueError("a report has no file")
+    return reports.orderBy("ticker", "report_year", "filename")
+
+
+def blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Text blocks with their boxes and fonts, from JSON lines that a PDF reader leaves; a malformed line fails the read."""
+    return spark.read.schema(schemas.BLOCKS).option("mode", "FAILFAST").json(path)
+
+
+def matrices(spark: SparkSession, path: str) -> DataFrame:
+    """Detected tables with their boxes and cells, from JSON lines."""
+    return spark.read.schema(schemas.MATRICES).option("mode", "FAILFAST").json(path)
+
+
 def report_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", magic: str = "%PDF") -> DataFrame:
     """One row a file under ``folder/<ticker>/<year>/``: id, size, digest, and whether the content begins as it should.
 
     Contents are read by the executors; files that are not what they claim stay
-    as rows with ``valid`` false.
+    as rows with ``valid`` false. A folder without files is an error.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     ticker, year = F.regexp_extract("path", r"/([^/]+)/\d{4}/[^/]+$", 1), F.regexp_extract("path", r"/(\d{4})/[^/]+$", 1).try_cast("int")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
+    require_rows(f.select("path"), f"files like {pattern}")
     head = F.regexp_replace(F.decode(F.expr("substring(content, 1, 64)"), "ISO-8859-1"), r"^\s+", "")
     return f.select(
         report_id(ticker, year, F.regexp_replace(name, r"\.[^.]+$", "")).alias("report_id"), ticker.alias("ticker"), year.alias("report_year"), name.alias("filename"), F.col("path").alias("file_path"),

@@ -16,8 +16,10 @@ def replace(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Add rows; a partitioned table takes the columns it was written with, or readers would not see the new files."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def upsert(new: DataFrame, path: str, keys: list[str], version: str) -> None:
@@ -67,3 +69,28 @@ def markdown_report(df: DataFrame, path: str, title: str) -> None:
 def chart_is_valid(categories, values):
     """Whether a chart has a value for each category."""
     return F.size(categories) == F.size(values)
+
+
+def debug_dump(df: DataFrame, path: str, line, enabled: bool = False) -> None:
+    """Rows as text by report, for reading; does nothing unless enabled. ``line`` is a column of text."""
+    if enabled:
+        df.select("report_id", line.alias("value")).write.mode("overwrite").partitionBy("report_id").text(path)
+
+
+def copy_tables(spark, source: str, target: str, names: list[str]) -> dict[str, int]:
+    """Replace the tables under ``target`` by those under ``source``; the copied rows are counted on both sides."""
+    out = {}
+    for name in names:
+        df = spark.read.parquet(f"{source}/{name}")
+        replace(df, f"{target}/{name}")
+        out[name] = spark.read.parquet(f"{target}/{name}").count()
+        if out[name] != df.count():
+            raise ValueError(f"{name}: rows were lost on the way")
+    return out
+
+
+def generated_file(folder: str, name: str) -> str:
+    """The path of a generated file; a name that leads out of the folder is refused."""
+    if not name or name in (".", "..") or "/" in name or "\\" in name:
+        raise ValueError("Invalid filename.")
+    return f"{folder.rstrip('/')}/{name}"

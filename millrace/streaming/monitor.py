@@ -57,16 +57,25 @@ def upsert_stream(events: DataFrame, target: str, keys: list[str], version: str,
         old = latest_table(spark, target, batch_id)
         merged = merge_by_key(old if old is not None else batch.limit(0), batch, keys, version)
         merged.write.mode("overwrite").parquet(f"{target}/batch={batch_id:012d}")
+        # the batch before stays for readers that have begun and for a batch that runs again
+        for name in _batches(spark, target)[:-2]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_table(spark, target: str, before: int | None = None) -> DataFrame | None:
-    """The table as of the last batch (before a batch), or None."""
+def _batches(spark, target: str) -> list[str]:
+    """Names of the whole batches, in order."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
-        return None
-    done = sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    done = [d for d in done if before is None or int(d[6:]) < before]
+        return []
+    done = [s.getPath() for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("batch=")]
+    return sorted(p.getName() for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def latest_table(spark, target: str, before: int | None = None) -> DataFrame | None:
+    """The table as of the last batch (before a batch), or None."""
+    done = [d for d in _batches(spark, target) if before is None or int(d[6:]) < before]
     return spark.read.parquet(f"{target}/{done[-1]}") if done else None

@@ -16,14 +16,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; every executor sees it.
 
-    Where the setting is absent (tests on one machine) a folder is made once
-    per session and set as checkpoint folder.
+    Where the setting is absent in local mode (tests on one machine) a folder is
+    made once per session and set as checkpoint folder; on a cluster that is an
+    error, as no machine's own folder is seen by the others.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = spark.conf.get("spark.millrace.shared.dir", None)
     if not own:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.millrace.shared.dir", own)
         spark.sparkContext.setCheckpointDir(own)

@@ -8,7 +8,7 @@ A candidate survives the length and positional bounds (the window placed at the
 word's offset must lie inside the document) and then the exact comparison of the
 item-sized window. Only DataFrame functions are used.
 
-The window table is broadcast while it has at most ``BROADCAST_ROWS`` rows;
+The window table is broadcast while it has at most ``BROADCAST_BYTES`` bytes;
 then a document's word array travels by reference within its row until the window
 is verified. Beyond that the join is shuffled on the prefix word, sending only
 positions, and what passes the bounds is joined with the word arrays by document.
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, read_table, small_enough, written
+from .common import UPPER, fits, read_table, written
 
-WINDOW, BROADCAST_ROWS = 13, 200_000
+WINDOW, BROADCAST_BYTES = 13, 32 << 20
 #: ASCII characters that end a word, after A-Z are lower-cased.
 _BREAKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -49,9 +49,12 @@ def _windows(items: DataFrame, size: int, null_items: bool) -> DataFrame:
 def _prefixed(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds the rarest word of each window (frequency over all documents, ties to the first) and its offset."""
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    if small_enough(vocabulary, BROADCAST_ROWS):
+    small = fits(vocabulary, BROADCAST_BYTES, "48 + octet_length(word)")
+    if small:
         vocabulary = F.broadcast(vocabulary)
     seen = docs.select(F.explode(word_array(F.col("text"))).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").count()
+    if small:  # a word that most windows have would lie in one task otherwise
+        seen = F.broadcast(seen)
     places = windows.select("words", F.posexplode("words").alias("offset", "word"))
     ranked = places.join(seen, "word", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "offset", "word")).alias("p"))
     return windows.join(ranked, "words").select("words", "items", F.col("p.word").alias("word"), F.col("p.offset").alias("offset"))
@@ -72,7 +75,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     equal = F.expr("n = 0 or slice(w, greatest(start, 0) + 1, greatest(n, 1)) = words")
     words = own.select("id", "fp", "w", F.size("w").alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
     start = (F.col("pos") - F.col("offset")).alias("start")
-    if small_enough(windows, BROADCAST_ROWS):
+    if fits(windows, BROADCAST_BYTES, "96 + octet_length(array_join(words, ' ')) + 24 * n + octet_length(array_join(items, ' ')) + 24 * size(items)"):
         hits = words.join(F.broadcast(windows.unionByName(end)), "word").select("*", start).where(inside).where(equal)
     else:
         near = words.drop("w").join(windows.unionByName(end), "word").select("id", "fp", "n_words", "words", "items", "n", start).where(inside)

@@ -224,7 +224,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("fp", "id", "component")
     named = linked.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     groups = linked.join(named, "component", "left").select("fp", F.coalesce("least", "id").alias("component"))
-    return seen.select("id", "n_shingles", "fp").join(groups, "fp", "left").select(
+    # rows without a set have nothing to be joined with, and would all lie in one task
+    found = seen.where("fp is not null").select("id", "n_shingles", "fp").join(groups, "fp", "left").select("id", "n_shingles", "component")
+    found = found.unionByName(seen.where("fp is null").select("id", "n_shingles", F.lit(None).cast(kind).alias("component")))
+    return found.select(
         "id", "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),

@@ -205,7 +205,7 @@ def test_decontamination_rows(spark):
 
 def test_decontamination_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     want = decontaminate.op2_decontaminate(spark, sf_dir).collect()
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert sorted(decontaminate.op2_decontaminate(spark, sf_dir).collect()) == sorted(want)
 
 

@@ -66,10 +66,13 @@ def retrieval_metrics(ranked: Column, gold: Column, k: int) -> list[Column]:
 
 def token_f1(prediction: Column, reference: Column) -> Column:
     """Harmonic mean of precision and recall over the two multisets of tokens (arrays); both empty: 1, one empty: 0."""
-    common = F.aggregate(
-        F.array_distinct(prediction), F.lit(0),
-        lambda s, t: s + F.least(F.size(F.filter(prediction, lambda x: x == t)), F.size(F.filter(reference, lambda x: x == t))),
-    )
+    # each token with its number among its like, told from the sorted array, so that the two multisets meet as sets
+    def numbered(tokens: Column) -> Column:
+        step = lambda s, x: F.struct(F.when(s["t"].eqNullSafe(x), s["n"] + 1).otherwise(1).alias("n"), x.alias("t"), F.concat(s["out"], F.array(F.concat(x, F.lit("\x00"), F.when(s["t"].eqNullSafe(x), s["n"] + 1).otherwise(1).cast("string")))).alias("out"))
+        start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("t"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(F.array_sort(tokens), start, step, lambda s: s["out"])
+
+    common = F.size(F.array_intersect(numbered(prediction), numbered(reference)))
     p, r = F.size(prediction), F.size(reference)
     return F.when((p == 0) & (r == 0), 1.0).when((p == 0) | (r == 0) | (common == 0), 0.0).otherwise(2.0 * common / (p + r))
 

@@ -53,7 +53,7 @@ SELECT doc_id, count(*) FILTER (noise) AS noise, count(*) FILTER (noise OR (len(
 
 
 def margin_frequency(spark, sf_dir):
-    """First and last lines of a source's documents that repeat, on a twenty-fifth of them."""
+    """First and last lines of a source's documents that repeat, on a twenty-fifth of them."""
     l = _lines(spark, sf_dir)
     ends = l.groupBy("doc_id", "source").agg(F.min_by("line", "pos").alias("a"), F.max_by("line", "pos").alias("b"))
     rows = ends.select(F.col("source").alias("report_id"), F.col("doc_id").alias("page_number"), F.explode(F.array("a", "b")).alias("text"))
@@ -70,7 +70,7 @@ SELECT source AS report_id, form, count(*) AS pages FROM f JOIN n USING (source)
 
 
 def report_ids(spark, sf_dir):
-    """Stable ids and digests of pages read as reports."""
+    """stable ids and digests of pages read as reports."""
     p = fx.read(spark, sf_dir, "pages").select("page_id", "url", "html")
     ticker, year = F.concat(F.lit("T"), (F.col("page_id") % 7).cast("string")), (2023 + F.col("page_id") % 3).cast("int")
     return p.select("page_id", s.report_id(ticker, year, F.concat(F.lit("Annual Report "), F.col("page_id").cast("string"))).alias("report_id"), F.length("html").cast("long").alias("character_count"), (F.trim("html") != "").alias("has_text"), F.sha2("html", 256).alias("sha256"))
@@ -80,7 +80,7 @@ IDS_SQL = "SELECT page_id, replace(lower('T' || (page_id % 7) || '_' || (2023 +
 
 
 def chunks(spark, sf_dir):
-    """Chunks of the documents' lines as paragraphs (no SQL: packing carries state)."""
+    """Chunks of the documents' lines as paragraphs (no SQL: packing carries state)."""
     l = _lines(spark, sf_dir).where("trim(line) <> ''")
     rows = l.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("report_id"), F.col("source").alias("ticker"), F.lit(2024).alias("report_year"), (1 + F.floor(F.col("pos") / 5)).cast("int").alias("page_number"), F.col("pos").alias("para"), F.col("line").alias("text"), F.lit(None).cast("string").alias("section_title"), F.lit(False).alias("contains_table"))
     return chunking.chunk(rows).select("chunk_id", "report_id", "chunk_index", "pdf_page_start", "pdf_page_end", "word_count", "estimated_token_count", "paragraph_count", "text_sha256")
@@ -95,7 +95,7 @@ def _matrix(spark, sf_dir):
 
 
 def table_records(spark, sf_dir):
-    """Matrices cleaned, repaired, and given as text and cells."""
+    """Matrices cleaned, repaired, and given as text and cells."""
     t = _matrix(spark, sf_dir).withColumn("m", tb.repair_rows(tb.rectangular(tb.clean_matrix(F.col("m")))))
     t = t.withColumn("h", tb.table_headers(F.array().cast("array<string>"), F.col("m"))).where(tb.is_useful(F.col("m"))).withColumn("m", F.slice("m", 2, 1000000))
     text = tb.retrieval_text(F.lit("Suppliers"), F.col("h"), F.col("m"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")), F.lit(2024), F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import STOP_WORDS, simple_tokens
+from ..functions.text import page_label
 from ..operators import dedup, index, search
 from ..operators.chunking import slices
 from ..sources import fixtures as fx
@@ -48,7 +49,7 @@ def vector_search_filtered(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    """Reciprocal rank fusion of 30 and 30, top 10."""
+    """Reciprocal rank fusion of 30 and 30, top 10."""
     out = search.retrieve(_docs(spark, sf_dir), QUERY, mode="hybrid", vector=query_vector(spark, sf_dir), analyzer="simple")
     return out.select("document_id", "rank", "rrf_score", "score", "keyword_rank", "vector_rank", "keyword_score", "vector_score")
 
@@ -174,7 +175,7 @@ EXACT_SQL = f"WITH {fx.SQL['rd']} SELECT report_id, document_id FROM rd WHERE co
 
 
 def word_slices(spark, sf_dir):
-    """Slices of 400 words with their digests."""
+    """slices of 400 words with their digests."""
     return slices(fx.narratives(spark, sf_dir)).select("document_id", "slice", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -183,11 +184,11 @@ SELECT document_id, CAST(i AS INTEGER) AS slice, sha256(array_to_string(w[i * 40
 
 
 def result_display(spark, sf_dir):
-    """Hybrid results as the table that a user sees."""
+    """Hybrid results as the table that a user sees."""
     out = search.hybrid_search(_docs(spark, sf_dir), QUERY, query_vector(spark, sf_dir), 15, analyzer="simple")
     score = F.coalesce("rrf_score", "score")
     label = F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(" "), F.col("ticker"), F.lit(" · "), F.col("report_year").cast("string"))
-    return out.where(score.isNotNull()).select("rank", score.alias("score"), label.alias("label"), F.when(F.col("page_start") == F.col("page_end"), F.col("page_start").cast("string")).otherwise(F.concat_ws("–", "page_start", "page_end")).alias("pages"))
+    return out.where(score.isNotNull()).select("rank", score.alias("score"), label.alias("label"), page_label(F.col("page_start"), F.col("page_end")).alias("pages"))
 
 
 DISPLAY_SQL = HYBRID_SQL.partition("\nSELECT document_id")[0] + """

@@ -91,7 +91,9 @@ def test_api(spark, sf_dir):
     agent = lambda q, context, tools: {"final_answer": str(tools["calculate"]("2 + 3")["result"]), "tools_used": [{"tool": "calculate"}]}
     assert engine.query(Request("that was", pipeline="agent"), agent=agent).answer == "5.0"
     assert engine.query(Request("qqqq", retrieval_mode="keyword")).answer.startswith("No relevant")
-    assert engine.search_keyword("that", top_k=2)["count"] == 2 and engine.get_table("x") == {"success": True, "found": False, "table": None}
+    # keyword search stems and leaves out stop words unless asked otherwise
+    assert engine.search_keyword("ering", top_k=2)["count"] == 2 and engine.search_keyword("that", top_k=2)["count"] == 0
+    assert engine.get_table("x") == {"success": True, "found": False, "table": None}
     assert extractive("q", "") .startswith("No relevant")
     row = interaction_row(spark, Request("q", ticker="T"), None, "boom").first()
     assert row.status == "failed" and row.ticker is None and row.judge_status == "not_run"

@@ -81,7 +81,7 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.where("a <> b").distinct()
 
 
-def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_over: int = 64) -> DataFrame:
+def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_over: int = 64, pairs: DataFrame | None = None) -> DataFrame:
     """(id, component) of the relation that ``confirm`` holds, over nodes that share a bucket.
 
     ``buckets`` has (key, node, tag), the tag a fact about the node that spares
@@ -96,6 +96,7 @@ def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_ove
     With ``split``, which takes the tag's name and returns an array, members of a
     bucket of over ``split_over`` are dealt to smaller ones by its elements; they
     are tied in both, but held against each other in the smaller ones only.
+    ``pairs`` (a, ta, b, tb) are confirmed as well; these are buckets of two.
     Nodes without a link are not in the result.
     """
     spark = buckets.sparkSession
@@ -115,7 +116,8 @@ def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_ove
             dealt = kept(dealt.select(F.xxhash64("old", "part").alias("key"), "node", "tag"), "buckets")
             ties = live.unionByName(dealt)
             live = live.join(crowds, "key", "left_anti").unionByName(dealt)
-    links = kept(confirm(star_pairs(ties)), "links")
+    met = star_pairs(ties)
+    links = kept(confirm(met if pairs is None else met.unionByName(pairs)), "links")
     found = connected_components(links)
     heads = live.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 2")
     rest = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, lines, minhash, packed, pii, urlfilter, vectors
+from . import bpe, chat, decontaminate, langid, lines, minhash, packed, pii, resample, urlfilter, vectors
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_minhash_dedup": minhash.op8_minhash_dedup,
         "op9_vector_dedup": vectors.op9_vector_dedup,
         "op10_packed_ids": packed.op10_packed_ids,
+        "op11_importance_resample": resample.op11_importance_resample,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_preference_format": chat.OP6_SQL,
         "op8_minhash_dedup": minhash.OP8_SQL,
         "op9_vector_dedup": vectors.OP9_SQL,
+        "op11_importance_resample": resample.OP11_SQL,
     }

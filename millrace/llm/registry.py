@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, lines, minhash, packed, pii, resample, urlfilter, vectors
+from . import bpe, chat, decontaminate, langid, lines, minhash, negatives, packed, pii, resample, topk, urlfilter, vectors
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_vector_dedup": vectors.op9_vector_dedup,
         "op10_packed_ids": packed.op10_packed_ids,
         "op11_importance_resample": resample.op11_importance_resample,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_exact_topk": topk.op13_exact_topk,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_minhash_dedup": minhash.OP8_SQL,
         "op9_vector_dedup": vectors.OP9_SQL,
         "op11_importance_resample": resample.OP11_SQL,
+        "op12_hard_negatives": negatives.OP12_SQL,
+        "op13_exact_topk": topk.OP13_SQL,
     }

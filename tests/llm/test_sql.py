@@ -9,5 +9,5 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     oracle.check(spark, sf_dir, registry.queries()[name], registry.oracle_sql()[name])
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))

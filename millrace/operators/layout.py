@@ -1,30 +1,52 @@
 """Pages from layout blocks: table regions and margins out, reading order, paragraphs, sections.
 
 Input blocks: report_id, page_number, block_index, text, x0, y0, x1, y1,
-page_width, page_height, max_font_size, median_font_size, is_bold. Windows are
-partitioned by page or report, which bounds what a task sorts to a document.
+page_width, page_height, max_font_size, median_font_size, is_bold. Each step is a
+function of its own; ``read_report`` puts them together. Windows are partitioned by
+page. What goes from page to page, the section in force, is carried in spans of
+pages and spans of spans (``carried_before``), so a report of any length is no
+task's own.
+
+Null report ids are a report, null page numbers a page; blocks without text are decoration.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import overlap_share, same_column
-from ..functions.text import flatten, is_contents_page, is_decorative, is_heading, is_noise, margin_form, starts_list_item, word_count
+from ..functions.text import clean_text, flatten, is_contents_page, is_decorative, is_heading, is_noise, margin_form, pack_sentences, starts_list_item, word_count
 
 # Fixed values.
 TOP, BOTTOM, MIN_PAGES, PAGE_SHARE = 0.08, 0.08, 5, 0.25
-TABLE_OVERLAP, FULL_WIDTH, COLUMN_WORDS, GAP = 0.50, 0.70, 40, 0.012
+TABLE_OVERLAP, FULL_WIDTH, COLUMN_WORDS, COLUMN_GAP, GAP = 0.50, 0.70, 40, 0.08, 0.012
+PARAGRAPH_WORDS, PIECE_WORDS, PAGE_WORDS = 180, 2, 10
+
 PAGE = ["report_id", "page_number"]
+#: Pages of a span, within which a value is carried by one window.
+SPAN = 1024
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """``right`` with its key columns renamed, and the condition that the keys are equal, nulls included."""
+    renamed = right.withColumnsRenamed({c: f"__{c}" for c in columns})
+    condition = F.lit(True)
+    for c in columns:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return renamed, condition
+
+
+def _join(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
+    renamed, condition = _same(left, right, columns)
+    return left.join(renamed, condition, how).drop(*(f"__{c}" for c in columns))
 
 
 def drop_table_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Blocks less those that a table (report_id, page_number, tx0, ty0, tx1, ty1) covers by half or more."""
-    b = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    covered = overlap_share(*b, *(F.col(f"t{c}") for c in ("x0", "y0", "x1", "y1"))) >= TABLE_OVERLAP
-    t = tables.select(F.col("report_id").alias("__r"), F.col("page_number").alias("__p"), "tx0", "ty0", "tx1", "ty1")
-    return blocks.join(t, (F.col("report_id") == F.col("__r")) & (F.col("page_number") == F.col("__p")) & covered, "left_anti")
+    t, page = _same(blocks, tables.select(*PAGE, "tx0", "ty0", "tx1", "ty1"), PAGE)
+    covered = overlap_share(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), *(F.col(f"t{c}") for c in ("x0", "y0", "x1", "y1"))) >= TABLE_OVERLAP
+    return blocks.join(t, page & covered, "left_anti")
 
 
 def repeated_margins(candidates: DataFrame, min_pages: int = MIN_PAGES, share: float = PAGE_SHARE) -> DataFrame:
@@ -32,7 +54,7 @@ def repeated_margins(candidates: DataFrame, min_pages: int = MIN_PAGES, share: f
     forms = candidates.select("report_id", "page_number", margin_form(F.col("text")).alias("form")).where("form <> ''")
     total = forms.groupBy("report_id").agg(F.countDistinct("page_number").alias("total"))
     seen = forms.distinct().groupBy("report_id", "form").agg(F.count(F.lit(1)).alias("pages"))
-    return seen.join(total, "report_id").where(F.col("pages") >= F.greatest(F.lit(min_pages), F.ceil(share * F.col("total")))).select("report_id", "form", "pages")
+    return _join(seen, total, ["report_id"], "inner").where(F.col("pages") >= F.greatest(F.lit(min_pages), F.ceil(share * F.col("total")))).select("report_id", "form", "pages")
 
 
 def margin_blocks(blocks: DataFrame) -> DataFrame:
@@ -40,10 +62,10 @@ def margin_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def drop_margins(blocks: DataFrame) -> DataFrame:
-    """Blocks less running headers and footers."""
-    marks = repeated_margins(margin_blocks(blocks)).select(F.col("report_id").alias("__r"), "form")
-    in_margin = (F.col("y0") <= TOP * F.col("page_height")) | (F.col("y1") >= (1 - BOTTOM) * F.col("page_height"))
-    return blocks.join(marks, (F.col("report_id") == F.col("__r")) & (margin_form(F.col("text")) == F.col("form")) & in_margin, "left_anti")
+    """Blocks less all whose text is that of a running header or footer of the report, wherever it stands."""
+    marks = repeated_margins(margin_blocks(blocks)).select("report_id", F.col("form").alias("__form"))
+    m, report = _same(blocks, marks, ["report_id"])
+    return blocks.join(m, report & (margin_form(F.col("text")) == F.col("__form")), "left_anti")
 
 
 def report_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -51,47 +73,96 @@ def report_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return drop_margins(drop_table_blocks(blocks, tables))
 
 
+def drop_contents_pages(blocks: DataFrame) -> DataFrame:
+    """Blocks of pages that are no table of contents."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
+    contents = blocks.groupBy(*PAGE).agg(F.array_join(lines, "\n").alias("all")).where(is_contents_page(F.col("all"))).select(*PAGE)
+    return _join(blocks, contents, PAGE, "left_anti")
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Adds ``place``, from 1 on each page: one column by (y, x), two as head, left, right, foot."""
+    """Blocks that are no decoration, with ``place`` from 1 on each page and ``columns``.
+
+    Two columns are read where blocks that keep to the left, and such that keep to
+    the right, have forty words each: what spans the page above the columns, the
+    left, the right, what spans it further down. One column goes by (y, x), rounded.
+    """
     page = Window.partitionBy(*PAGE)
-    n = word_count(F.coalesce("text", F.lit("")))
-    wide = F.col("x1") - F.col("x0") >= FULL_WIDTH * F.col("page_width")
-    left = (F.col("x0") + F.col("x1")) / 2 < F.col("page_width") / 2
-    narrow_words = lambda side: F.sum(F.when(~F.col("__wide") & side, F.col("__n")).otherwise(0)).over(page)
-    marked = blocks.withColumns({"__n": n, "__wide": wide, "__left": left})
-    two = (narrow_words(F.col("__left")) >= COLUMN_WORDS) & (narrow_words(~F.col("__left")) >= COLUMN_WORDS)
+    width = F.col("page_width")
+    usable = blocks.where(~is_decorative(F.col("text"))).withColumns({
+        "__n": word_count(flatten(F.col("text"))), "__wide": F.col("x1") - F.col("x0") >= FULL_WIDTH * width, "__left": (F.col("x0") + F.col("x1")) / 2 < width / 2,
+    })
+    words = lambda side: F.sum(F.when(side, F.col("__n")).otherwise(0)).over(page)
+    two = (words(F.col("x1") <= width / 2 + COLUMN_GAP * width) >= COLUMN_WORDS) & (words(F.col("x0") >= width / 2 - COLUMN_GAP * width) >= COLUMN_WORDS)
     top = F.min(F.when(~F.col("__wide"), F.col("y0"))).over(page)
-    region = F.when(~F.col("__two"), 0).when(F.col("__wide") & (F.col("y0") <= F.coalesce("__top", F.col("y0"))), 1).when(F.col("__wide"), 4).when(F.col("__left"), 2).otherwise(3)
-    keyed = marked.withColumns({"__two": two, "__top": top}).withColumn("__region", region)
-    order = Window.partitionBy(*PAGE).orderBy("__region", F.round("y0", 1), F.round("x0", 1), "block_index")
-    return keyed.withColumn("place", F.row_number().over(order)).drop("__n", "__wide", "__left", "__two", "__top", "__region")
+    marked = usable.withColumns({"columns": F.when(two, 2).otherwise(1), "__top": top})
+    region = F.when(F.col("columns") == 1, 0).when(F.col("__wide") & (F.col("y0") <= F.coalesce("__top", F.col("y0"))), 1).when(F.col("__wide"), 4).when(F.col("__left"), 2).otherwise(3)
+    near = lambda c: F.when(F.col("columns") == 1, F.round(c, 1)).otherwise(F.col(c))
+    order = Window.partitionBy(*PAGE).orderBy("__region", near("y0"), near("x0"), "block_index")
+    return marked.withColumn("__region", region).withColumn("place", F.row_number().over(order)).drop("__n", "__wide", "__left", "__top", "__region")
 
 
-def paragraphs(blocks: DataFrame) -> DataFrame:
-    """(report_id, page_number, para, text, section_title): paragraphs of at least two words that are no noise.
+def with_headings(ordered: DataFrame) -> DataFrame:
+    """Adds ``flat`` (the text on one line), ``body_font`` (median of the page's positive block fonts, else 0) and ``heading``."""
+    fonts = F.median(F.when(F.col("median_font_size") > 0, F.col("median_font_size"))).over(Window.partitionBy(*PAGE))
+    out = ordered.withColumns({"flat": flatten(F.col("text")), "body_font": F.coalesce(fonts, F.lit(0.0))})
+    return out.withColumn("heading", F.coalesce(is_heading(F.col("flat"), F.col("is_bold"), F.col("max_font_size"), F.col("body_font")), F.lit(False)))
+
+
+def carried_before(rows: DataFrame, group: list[str], order: str, value: str, span: int = SPAN, levels: int = 2) -> DataFrame:
+    """Adds ``before``: the last non-null ``value`` at a smaller ``order`` (a whole number, one row each) of the group.
+
+    A window runs within ``span`` consecutive numbers; the last values of the spans
+    are carried in the same way, and so on for ``levels``. The window at the top sees
+    one row for ``span ** levels`` numbers.
+    """
+    last = lambda *keys: F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    if not levels:
+        return rows.withColumn("before", last(*group))
+    cut = f"__span{levels}"
+    local = rows.withColumn(cut, F.floor(F.col(order) / span)).withColumn("__local", last(*group, cut))
+    ends = local.groupBy(*group, cut).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
+    earlier = carried_before(ends, group, cut, "__end", span, levels - 1).select(*group, cut, F.col("before").alias("__earlier"))
+    return _join(local, earlier, [*group, cut], "left").withColumn("before", F.coalesce("__local", "__earlier")).drop(cut, "__local", "__earlier")
+
+
+def page_sections(headed: DataFrame) -> DataFrame:
+    """(report_id, page_number, section_title): the last heading up to each page's end, carried from page to page."""
+    pages = headed.groupBy(*PAGE).agg(F.max_by("flat", F.when(F.col("heading"), F.col("place"))).alias("__h"))
+    return carried_before(pages, ["report_id"], "page_number", "__h").select(*PAGE, F.coalesce("__h", "before").alias("section_title"))
+
+
+def paragraph_starts(headed: DataFrame) -> DataFrame:
+    """Adds ``para``, the paragraph's number on its page; headings count as one.
 
     A block begins a paragraph after a heading, a change of column, a gap, the
-    end of a sentence, or with a list mark. All paragraphs of a page carry the
-    section that holds at the page's end.
+    end of a sentence, or with a list mark.
     """
-    contents = blocks.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"]), "\n").alias("all"))
-    contents = contents.where(is_contents_page(F.col("all"))).select(*PAGE)
-    body = F.median("median_font_size").over(Window.partitionBy(*PAGE))
-    ordered = reading_order(blocks.join(contents, PAGE, "left_anti").withColumn("__body", body).where(~is_decorative(F.col("text"))))
-    ordered = ordered.withColumn("flat", flatten(F.col("text"))).withColumn("heading", is_heading(F.col("text"), F.col("is_bold"), F.col("max_font_size"), F.col("__body")))
     by_page = Window.partitionBy(*PAGE).orderBy("place")
     lag = lambda c: F.lag(c).over(by_page)
     breaks = (
         lag("flat").isNull() | lag("heading") | F.col("heading") | ~same_column(lag("x0"), lag("x1"), F.col("x0"), F.col("x1"))
         | (F.col("y0") - lag("y1") > GAP * F.col("page_height")) | starts_list_item(F.col("flat")) | lag("flat").rlike("[.?!:]$")
     )
-    marked = ordered.withColumn("__break", breaks.cast("int")).withColumn("para", F.sum("__break").over(by_page))
-    by_report = Window.partitionBy("report_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    pages = marked.groupBy(*PAGE).agg(F.max_by(F.when(F.col("heading"), F.col("flat")), F.when(F.col("heading"), F.col("place"))).alias("__h"))
-    sections = pages.withColumn("section_title", F.last("__h", ignorenulls=True).over(by_report)).select(*PAGE, "section_title")
-    joined = marked.where(~F.col("heading")).groupBy(*PAGE, "para").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "flat"))), lambda x: x["flat"]), " ").alias("text")
+    return headed.withColumn("__break", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("para", F.sum("__break").over(by_page)).drop("__break")
+
+
+def paragraphs(blocks: DataFrame) -> DataFrame:
+    """(report_id, page_number, para, piece, text, section_title): paragraphs in pieces of at most 180 words.
+
+    A piece has two words or more and is no noise, a page ten words or more. All
+    pieces of a page carry the section that holds at the page's end.
+    """
+    headed = with_headings(reading_order(drop_contents_pages(blocks)))
+    joined = paragraph_starts(headed).where(~F.col("heading")).groupBy(*PAGE, "para").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "flat"))), lambda x: x["flat"]), " ").alias("whole")
     )
-    useful = joined.where((word_count(F.col("text")) >= 2) & ~is_noise(F.col("text")))
-    enough = useful.groupBy(*PAGE).agg(F.sum(word_count(F.col("text"))).alias("w")).where("w >= 10").select(*PAGE)
-    return useful.join(enough, PAGE, "left_semi").join(sections, PAGE, "left")
+    pieces = joined.where(~is_noise(F.col("whole"))).select(*PAGE, "para", F.posexplode(pack_sentences(clean_text(F.col("whole")), PARAGRAPH_WORDS)).alias("piece", "text"))
+    useful = pieces.withColumn("__n", word_count(F.col("text"))).where((F.col("__n") >= PIECE_WORDS) & ~is_noise(F.col("text")))
+    useful = useful.withColumn("__w", F.sum("__n").over(Window.partitionBy(*PAGE))).where(F.col("__w") >= PAGE_WORDS).drop("__n", "__w")
+    return _join(useful, page_sections(headed), PAGE, "left")
+
+
+def read_report(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Paragraphs (see ``paragraphs``) of whole reports from their blocks and table regions."""
+    return paragraphs(report_blocks(blocks, tables))

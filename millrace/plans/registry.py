@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, ingestion, monitoring, retrieval, traces
+from . import evaluation, ingestion, layout, monitoring, retrieval, traces
 
-_ALL = retrieval.QUERIES | monitoring.QUERIES | evaluation.QUERIES | ingestion.QUERIES | traces.QUERIES
+_ALL = retrieval.QUERIES | monitoring.QUERIES | evaluation.QUERIES | ingestion.QUERIES | traces.QUERIES | layout.QUERIES
 
 
 def queries() -> dict:

@@ -108,3 +108,89 @@ inter AS (
 fb AS (
   SELECT response_id, arg_max(rating, {'a': rated_at, 'e': event_id}) AS rating, min(rated_at) AS created_at, max(rated_at) AS updated_at FROM fe GROUP BY response_id)""",
 }
+
+
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source: lines, and the rows they take in one column or, for every third page, in two."""
+    d = read(spark, sf_dir, "documents").where("text is not null and doc_id is not null").withColumn("lines", F.split("text", "\n", -1)).withColumn("n", F.size("lines"))
+    d = d.withColumn("two", (F.col("doc_id") % 3 == 0) & (F.col("n") >= 5)).withColumn("half", F.expr("n div 2").cast("int")).withColumn("lang", F.coalesce("lang", F.lit("xx")))
+    d = d.withColumn("rows", F.when(F.col("two"), F.col("half") + 1).otherwise(F.col("n"))).withColumn("height", 40.0 * (F.col("rows") + 5))
+    return d.select(F.col("source").alias("report_id"), F.col("doc_id").alias("page_number"), "lang", "n_chars", "lines", "n", "two", "half", "rows", "height")
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout blocks: the lines of each page below a running header and a heading, above a footer."""
+    p = _page_lines(spark, sf_dir)
+    page = F.col("page_number")
+
+    def block(text, x0, y0, x1, y1, font=10.0, median=10.0, bold=False):
+        number = lambda v: v if not isinstance(v, float) else F.lit(v)
+        cols = {"text": text, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "max_font_size": font, "median_font_size": median, "is_bold": bold}
+        return F.struct(*((number(c) if not isinstance(c, bool) else F.lit(c)).alias(name) for name, c in cols.items()))
+
+    def line(text, i):
+        row = F.when(F.col("two") & (i > 0), (i - 1) % F.col("half") + 1).otherwise(i)
+        right, left = F.col("two") & (i > F.col("half")), F.col("two") & (i > 0) & (i <= F.col("half"))
+        x0 = F.when(right, 310.0).otherwise(30.0) + F.when(i % 5 == 4, 12.0).otherwise(0.0)
+        y0 = 80.0 + 40.0 * row
+        large = i % 7 == 3
+        return block(text, x0, y0, F.when(left, 290.0).otherwise(570.0), y0 + F.when(i % 4 == 0, 30.0).otherwise(39.5), F.when(large, 12.5).otherwise(10.0), F.when(i % 3 == 0, 9.5).otherwise(10.0), large)
+
+    some = lambda on, b: F.when(on, F.array(b)).otherwise(F.slice(F.array(b), 1, 0))
+    header = some(page % 5 != 0, block(F.concat("report_id", F.lit(" annual report "), page.cast("string")), 200.0, 4.0, 400.0, 20.0))
+    heading = some(page % 4 >= 2, block(F.when(page % 4 == 2, F.concat(F.lit("Notes to the "), "lang")).otherwise(F.concat("lang", F.lit(" overview of "), "report_id")), 30.0, 44.0, 570.0, 64.0, 14.0, 14.0, True))
+    footer = F.array(block(F.concat(F.lit("Page "), page.cast("string"), F.lit(" of the report")), 30.0, F.col("height") - 30.0, 570.0, F.col("height") - 14.0))
+    blocks = p.select(*("report_id", "page_number", "height"), F.posexplode(F.concat(header, heading, F.transform("lines", line), footer)).alias("block_index", "b"))
+    return blocks.select("report_id", "page_number", "block_index", "b.text", "b.x0", "b.y0", "b.x1", "b.y1", F.lit(600.0).alias("page_width"), F.col("height").alias("page_height"), "b.max_font_size", "b.median_font_size", "b.is_bold")
+
+
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of every fourth page: one of the lines' phrases over the middle of the page, and on half of these pages one of numbered lines at its end."""
+    p = _page_lines(spark, sf_dir).where("page_number % 4 = 1")
+    kind = F.expr("(page_number div 4) % 3")
+    words = lambda *w: F.array(*(F.lit(x) for x in w))
+    phrases = F.transform("lines", lambda x: F.split(x, ", ", -1))
+    first = F.when(kind == 0, words("", "Value")).when(kind == 1, words("item", "Item_2", " note")).otherwise(words("Name", "", "Name"))
+    title = F.when(F.col("page_number") % 8 == 1, F.array(F.array(F.lit(""), F.concat(F.lit("Statement of "), "lang")))).otherwise(F.expr("cast(array() as array<array<string>>)"))
+    w = F.greatest(F.size(first), F.array_max(F.transform(phrases, F.size)))
+    total = F.array(F.concat(F.lit("Total "), "lang", F.repeat(F.concat(F.lit(" "), F.col("n_chars").cast("string")), w - 1)))
+    top = 95.0 + 40.0 * F.expr("rows div 3")
+    one = F.struct(
+        F.lit(1).alias("table_index"), F.lit(20.0).alias("tx0"), top.alias("ty0"), F.when(F.col("two"), 300.0).otherwise(580.0).alias("tx1"), (top + 40.0 * F.greatest(F.lit(1), F.expr("rows div 3"))).alias("ty1"),
+        F.when(kind == 1, words("Item", "Item", "Note")).when(kind == 2, words("", " ")).alias("detected"), F.concat(F.array(first), title, phrases, F.array(total)).alias("matrix"),
+    )
+    end = 60.0 + 40.0 * F.col("rows")
+    numbered = F.transform("lines", lambda x, i: F.array(F.concat(F.lit("line "), i.cast("string")), x, F.length(x).cast("string")))
+    two = F.struct(F.lit(2).alias("table_index"), F.lit(20.0).alias("tx0"), end.alias("ty0"), F.lit(580.0).alias("tx1"), (end + 40.0).alias("ty1"), words("", "text", "length").alias("detected"), numbered.alias("matrix"))
+    t = p.withColumn("t", F.explode(F.when(F.col("page_number") % 8 == 5, F.array(one, two)).otherwise(F.array(one))))
+    return t.select("report_id", F.col("report_id").alias("ticker"), F.lit(2024).alias("report_year"), "page_number", "t.*")
+
+
+_PAGE_LINES = """pl AS (SELECT source AS report_id, doc_id AS page_number, coalesce(lang, 'xx') AS lang, n_chars, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+pn AS (SELECT *, len(lines) AS n, page_number % 3 = 0 AND len(lines) >= 5 AS two, len(lines) // 2 AS half FROM pl),
+pg AS (SELECT *, CASE WHEN two THEN half + 1 ELSE n END AS rows, 40.0::DOUBLE * (CASE WHEN two THEN half + 1 ELSE n END + 5) AS height FROM pn)"""
+
+LAYOUT_SQL = {
+    "pages": _PAGE_LINES,
+    "blocks": """bl AS (SELECT report_id, page_number, two, half, height, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS i FROM pg),
+br AS (SELECT *, CASE WHEN two AND i > 0 THEN (i - 1) % half + 1 ELSE i END AS r FROM bl),
+bu AS (
+  SELECT report_id, page_number, height, i + 2 AS o, text, CASE WHEN two AND i > half THEN 310.0 ELSE 30.0 END::DOUBLE + CASE WHEN i % 5 = 4 THEN 12.0 ELSE 0.0 END::DOUBLE AS x0, 80.0::DOUBLE + 40.0::DOUBLE * r AS y0,
+    CASE WHEN two AND i > 0 AND i <= half THEN 290.0 ELSE 570.0 END::DOUBLE AS x1, 80.0::DOUBLE + 40.0::DOUBLE * r + CASE WHEN i % 4 = 0 THEN 30.0 ELSE 39.5 END::DOUBLE AS y1,
+    CASE WHEN i % 7 = 3 THEN 12.5 ELSE 10.0 END::DOUBLE AS max_font_size, CASE WHEN i % 3 = 0 THEN 9.5 ELSE 10.0 END::DOUBLE AS median_font_size, i % 7 = 3 AS is_bold FROM br
+  UNION ALL SELECT report_id, page_number, height, 0, report_id || ' annual report ' || page_number, 200, 4, 400, 20, 10, 10, false FROM pg WHERE page_number % 5 <> 0
+  UNION ALL SELECT report_id, page_number, height, 1, CASE WHEN page_number % 4 = 2 THEN 'Notes to the ' || lang ELSE lang || ' overview of ' || report_id END, 30, 44, 570, 64, 14, 14, true FROM pg WHERE page_number % 4 >= 2
+  UNION ALL SELECT report_id, page_number, height, n + 2, 'Page ' || page_number || ' of the report', 30, height - 30, 570, height - 14, 10, 10, false FROM pg
+),
+b AS (SELECT * EXCLUDE (o, height), row_number() OVER (PARTITION BY page_number ORDER BY o) - 1 AS block_index, 600.0::DOUBLE AS page_width, height AS page_height FROM bu)""",
+    "tables": """tp AS (SELECT *, (page_number // 4) % 3 AS kind, list_transform(lines, lambda x: string_split(x, ', ')) AS phrases FROM pg WHERE page_number % 4 = 1),
+tf AS (SELECT *, CASE kind WHEN 0 THEN ['', 'Value'] WHEN 1 THEN ['item', 'Item_2', ' note'] ELSE ['Name', '', 'Name'] END AS head, 95.0::DOUBLE + 40.0::DOUBLE * (rows // 3) AS top FROM tp),
+tw AS (SELECT *, greatest(len(head), list_max(list_transform(phrases, lambda x: len(x)))) AS w FROM tf),
+t AS (
+  SELECT report_id, page_number, 1 AS table_index, 20.0::DOUBLE AS tx0, top AS ty0, CASE WHEN two THEN 300.0 ELSE 580.0 END::DOUBLE AS tx1, top + 40.0::DOUBLE * greatest(1, rows // 3) AS ty1,
+    CASE kind WHEN 1 THEN ['Item', 'Item', 'Note'] WHEN 2 THEN ['', ' '] END AS detected,
+    list_concat(list_concat(list_concat([head], CASE WHEN page_number % 8 = 1 THEN [['', 'Statement of ' || lang]] ELSE [] END), phrases), [['Total ' || lang || repeat(' ' || n_chars, w - 1)]]) AS matrix FROM tw
+  UNION ALL SELECT report_id, page_number, 2, 20, 60.0::DOUBLE + 40.0::DOUBLE * rows, 580, 100.0::DOUBLE + 40.0::DOUBLE * rows, ['', 'text', 'length'],
+    list_transform(lines, lambda x, i: ['line ' || (i - 1), x, length(x)::VARCHAR]) FROM tw WHERE page_number % 8 = 5
+)""",
+}

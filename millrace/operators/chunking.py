@@ -1,8 +1,12 @@
 """Chunks of complete paragraphs, up to a target of words, with overlap.
 
-Packing depends on all that came before in the report, so it runs as one Arrow
-function over each report's paragraphs; all else is expressions. A report's
-paragraphs are what a task holds; reports are documents, not partitions.
+Packing depends on all that came before in the report, so reports are sorted within
+partitions and one Arrow function folds over them, across batches and reports. It
+holds the paragraphs of the chunk at hand and the chunk before, whatever the length of
+the report; all else is expressions.
+
+Null texts are no paragraphs; rows with a null report are one report; paragraphs of
+equal page and number go by their text.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,57 +68,95 @@ def _record(report: tuple, index: int, units: list[_Unit]) -> dict:
     }
 
 
-def pack(report: tuple, paragraphs: list[tuple], target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP) -> list[dict]:
-    """Chunks of one report from (text, page, section, contains_table) in order.
+class Packer:
+    """Takes the paragraphs of one report in order and gives out chunks.
 
     A chunk ends where the section changes or the target would be passed; its
     last whole paragraphs of ``overlap`` words begin the next one. What is shorter
-    than ``least`` is not given out; the rest at the end joins the chunk before.
+    than ``least`` is not given out; the rest at the end joins the chunk before. So the
+    last chunk stays here until another follows or the report ends.
     """
-    units = [_Unit(p, page, section, table) for text, page, section, table in paragraphs for p in pack_sentences(text, target)]
-    out: list[dict] = []
-    held: list[_Unit] = []
-    size = lambda: sum(u.words for u in held)
-
-    def give() -> None:
-        if size() >= least:
-            out.append(_record(report, len(out) + 1, held))
-
-    for u in units:
-        section = next((x.section for x in reversed(held) if x.section), None)
-        moved = section is not None and u.section is not None and u.section != section
-        if held and (moved or size() + u.words > target):
-            give()
-            n = k = 0
-            while k < len(held) and n < overlap:
-                k += 1
-                n += held[-k].words
-            held = held[len(held) - k :]
-            while held and size() + u.words > target:
-                held.pop(0)
-        held.append(u)
-    if held and size() >= least:
-        give()
-    elif held and out:
-        last = out.pop()
-        held.insert(0, _Unit(last["text"], last["pdf_page_start"], last["section_title"], last["contains_table"]))
-        out.append(_record(report, last["chunk_index"], held))
-    return out
-
-
-def _of_report(pdf: pd.DataFrame) -> pd.DataFrame:
-    p = pdf.sort_values(["page_number", "para"], kind="stable")
-    none = lambda x: None if x is None or x != x else x
-    rows = [(t, int(g), none(s), bool(c)) for t, g, s, c in zip(p.text, p.page_number, p.section_title, p.contains_table)]
-    head = (p.report_id.iloc[0], p.ticker.iloc[0], int(p.report_year.iloc[0]))
-    return pd.DataFrame(pack(head, rows), columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+    def __init__(self, report: tuple, target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP):
+        self.report, self.target, self.least, self.overlap = report, target, least, overlap
+        self.held: list[_Unit] = []
+        self.last: dict | None = None
+        self.size = self.given = 0
+
+    def _give(self) -> list[dict]:
+        if self.size < self.least:
+            return []
+        before, self.given = self.last, self.given + 1
+        self.last = _record(self.report, self.given, self.held)
+        return [before] if before else []
+
+    def add(self, text: str, page: int, section: str | None, table: bool) -> list[dict]:
+        """Chunks that are complete with this paragraph."""
+        done = []
+        for piece in pack_sentences(text, self.target):
+            u = _Unit(piece, page, section, table)
+            now = next((x.section for x in reversed(self.held) if x.section), None)
+            moved = now is not None and section is not None and section != now
+            if self.held and (moved or self.size + u.words > self.target):
+                done += self._give()
+                n = k = 0
+                while k < len(self.held) and n < self.overlap:
+                    k += 1
+                    n += self.held[-k].words
+                self.held, self.size = self.held[len(self.held) - k :], n
+                while self.held and self.size + u.words > self.target:
+                    self.size -= self.held.pop(0).words
+            self.held.append(u)
+            self.size += u.words
+        return done
+
+    def end(self) -> list[dict]:
+        """The chunks that are left."""
+        done = self._give()
+        if self.held and self.size < self.least and self.last:
+            p = self.last
+            self.last = _record(self.report, p["chunk_index"], [_Unit(p["text"], p["pdf_page_start"], p["section_title"], p["contains_table"]), *self.held])
+        return done + ([self.last] if self.last else [])
+
+
+def pack(report: tuple, paragraphs: list[tuple], target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP) -> list[dict]:
+    """Chunks of one report from (text, page, section, contains_table) in order."""
+    packer = Packer(report, target, least, overlap)
+    return [r for p in paragraphs for r in packer.add(*p)] + packer.end()
+
+
+_NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+_ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[c.split(" ")[1]]) for n, c in zip(_NAMES, SCHEMA.split(", "))])
+#: Chunks of a batch that goes back to Spark.
+_GIVEN = 256
+
+
+def _fold(batches):
+    """Chunks of all reports of a partition, whose rows come in order."""
+    packer, ready = None, []
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("report_id", "ticker", "report_year", "text", "page_number", "section_title", "contains_table")))
+        for report, ticker, year, *paragraph in rows:
+            if packer is None or packer.report[0] != report:
+                ready += packer.end() if packer else []
+                packer = Packer((report, ticker, year))
+            ready += packer.add(*paragraph)
+            if len(ready) >= _GIVEN:
+                yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
+                ready = []
+    ready += packer.end() if packer else []
+    if ready:
+        yield pa.RecordBatch.from_pylist(ready, schema=_ARROW)
 
 
 def chunk(paragraphs: DataFrame) -> DataFrame:
     """Chunks from report_id, ticker, report_year, page_number, para, text, section_title, contains_table."""
-    rows = paragraphs.where("text is not null").select("report_id", "ticker", "report_year", "page_number", "para", "text", "section_title", "contains_table")
+    rows = paragraphs.where("text is not null").select(
+        "report_id", "ticker", F.col("report_year").cast("int").alias("report_year"), F.col("page_number").cast("int").alias("page_number"), "para", "text", "section_title",
+        F.coalesce("contains_table", F.lit(False)).alias("contains_table"),
+    )
     ship(paragraphs.sparkSession)
-    return rows.groupBy("report_id").applyInPandas(_of_report, SCHEMA)
+    return rows.repartition("report_id").sortWithinPartitions("report_id", "page_number", "para", "text").mapInArrow(_fold, SCHEMA)
 
 
 def with_tables(chunks: DataFrame) -> DataFrame:

@@ -80,12 +80,42 @@ IDS_SQL = "SELECT page_id, replace(lower('T' || (page_id % 7) || '_' || (2023 +
 
 
 def chunks(spark, sf_dir):
-    """Chunks of the documents' lines as paragraphs (no SQL: packing carries state)."""
+    """Chunks of the documents' lines as paragraphs."""
     l = _lines(spark, sf_dir).where("trim(line) <> ''")
     rows = l.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("report_id"), F.col("source").alias("ticker"), F.lit(2024).alias("report_year"), (1 + F.floor(F.col("pos") / 5)).cast("int").alias("page_number"), F.col("pos").alias("para"), F.col("line").alias("text"), F.lit(None).cast("string").alias("section_title"), F.lit(False).alias("contains_table"))
     return chunking.chunk(rows).select("chunk_id", "report_id", "chunk_index", "pdf_page_start", "pdf_page_end", "word_count", "estimated_token_count", "paragraph_count", "text_sha256")
 
 
+#: A chunk is a run of units, so the recursion carries where the run at hand begins (s); given: where the run that ends before unit i began.
+CHUNK_SQL = rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, list_filter(string_split_regex(line, '{_S}+'), lambda x: x <> '') AS w FROM l WHERE trim(line) <> ''),
+ls AS (SELECT doc_id, pos, w, list_filter(list_transform(string_split(regexp_replace(line, '([.!?]){_S}+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM w WHERE len(w) > 400),
+lk AS (SELECT doc_id, pos, s, list_transform(s, lambda x: len(list_filter(string_split_regex(x, '{_S}+'), lambda y: y <> ''))) AS n FROM ls WHERE len(s) > 1),
+lr AS (SELECT doc_id, pos, s, n, 1 AS i, s[1] AS out, n[1] AS c, false AS cut, '' AS done FROM lk
+  UNION ALL SELECT doc_id, pos, s, n, i + 1, CASE WHEN c + n[i + 1] > 400 THEN s[i + 1] ELSE out || ' ' || s[i + 1] END, CASE WHEN c + n[i + 1] > 400 THEN n[i + 1] ELSE c + n[i + 1] END, c + n[i + 1] > 400, out FROM lr WHERE i < len(s)),
+p AS (
+  SELECT doc_id, pos, 0 AS part, line AS text FROM w WHERE len(w) <= 400
+  UNION ALL SELECT doc_id, pos, i, done FROM lr WHERE cut UNION ALL SELECT doc_id, pos, len(s) + 1, out FROM lr WHERE i = len(s)
+  UNION ALL SELECT doc_id, pos, i, array_to_string(w[i * 400 + 1 : i * 400 + 400], ' ') FROM (SELECT doc_id, pos, w, unnest(range(0, (len(w) + 399) // 400)) AS i FROM ls WHERE len(s) <= 1)
+),
+o AS (SELECT doc_id, regexp_replace(text, '^{_S}+|{_S}+$', '', 'g') AS text, 1 + pos // 5 AS page, len(list_filter(string_split_regex(text, '{_S}+'), lambda x: x <> '')) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) AS i FROM p),
+u AS (SELECT *, sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM o),
+d AS (SELECT doc_id, list(text ORDER BY i) AS texts, list(page ORDER BY i) AS pages, list_concat([0], list(upto ORDER BY i)) AS t, count(*) AS n FROM u GROUP BY 1),
+r AS (SELECT doc_id, t, n, 1 AS i, 1 AS s, CAST(NULL AS BIGINT) AS given FROM d
+  UNION ALL SELECT doc_id, t, n, i + 1,
+    CASE WHEN t[i + 2] - t[s] <= 400 THEN s
+      ELSE coalesce(list_min(list_filter(range(coalesce(list_max(list_filter(range(s, i + 1), lambda x: t[i + 1] - t[x] >= 50)), s), i + 1), lambda x: t[i + 2] - t[x] <= 400)), i + 1) END,
+    CASE WHEN t[i + 2] - t[s] > 400 AND t[i + 1] - t[s] >= 80 THEN s END FROM r WHERE i < n),
+g AS (SELECT doc_id, given AS a, i - 1 AS b FROM r WHERE given IS NOT NULL UNION ALL SELECT doc_id, s, n FROM r WHERE i = n AND t[n + 1] - t[s] >= 80),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS ix, count(*) OVER (PARTITION BY doc_id) AS many FROM g),
+rest AS (SELECT doc_id, s AS a2 FROM r WHERE i = n AND t[n + 1] - t[s] < 80),
+c AS (SELECT h.doc_id, ix, a, b, CASE WHEN ix = many THEN a2 END AS a2, n, pages, array_to_string(list_concat(texts[a:b], CASE WHEN ix = many AND a2 IS NOT NULL THEN texts[a2:n] ELSE [] END), chr(10) || chr(10)) AS text
+  FROM h JOIN d USING (doc_id) LEFT JOIN rest USING (doc_id))
+SELECT 'r' || doc_id || '_chunk_' || lpad(ix::VARCHAR, 5, '0') || '_' || substr(sha256(text), 1, 16) AS chunk_id, 'r' || doc_id AS report_id, ix::INTEGER AS chunk_index, pages[a]::INTEGER AS pdf_page_start,
+  CASE WHEN a2 IS NULL THEN pages[b] ELSE greatest(pages[a], pages[n]) END::INTEGER AS pdf_page_end, len(list_filter(string_split_regex(text, '{_S}+'), lambda x: x <> ''))::INTEGER AS word_count,
+  greatest(1, ceil(length(text) / 4.0))::INTEGER AS estimated_token_count, CASE WHEN a2 IS NULL THEN b - a + 1 ELSE 1 + n - a2 + 1 END::INTEGER AS paragraph_count, sha256(text) AS text_sha256 FROM c"""
+
+
 def _matrix(spark, sf_dir):
     """Suppliers of a nation as a table with a repeated header row and a collapsed row."""
     sup = fx.read(spark, sf_dir, "supplier")
@@ -113,6 +143,6 @@ QUERIES = {
     "line_predicates": (line_predicates, PREDICATES_SQL),
     "margin_frequency": (margin_frequency, MARGIN_SQL),
     "report_ids": (report_ids, IDS_SQL),
-    "chunks": (chunks, None),
+    "chunks": (chunks, CHUNK_SQL),
     "table_records": (table_records, TABLE_SQL),
 }

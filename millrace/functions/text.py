@@ -152,30 +152,44 @@ def starts_list_item(c: Column) -> Column:
     return c.rlike(rf"^(?:\d+(?:\.\d+)*[.)]?|[A-Z][.)]|[-•▪‣]){SPACE}+")
 
 
-def is_noise(c: Column) -> Column:
-    """Whether a fragment says too little: empty, borders, numbers, hardly a letter. Null counts as empty."""
-    t = _trim(F.coalesce(c, F.lit("")))
-    n_letters, w = letters(t), words(t)
+def line_words(t: Column) -> Column:
+    """Words of a flattened text, which has single blanks alone: no class of white space to look for."""
+    return F.array_remove(F.split(t, " ", -1), "")
+
+
+def _noise(t: Column, w: Column) -> Column:
+    n_letters = letters(t)
     only_marks = F.forall(w, lambda x: x.rlike(rf"^({_BORDER_CLASS}|[.\d])+$"))
     return (
         (t == "") | (border_ratio(t) >= 0.25) | t.rlike(rf"^({SPACE}|{_BORDER_CLASS}|\.){{3,}}$") | ((F.size(w) <= 2) & (n_letters == 0)) | only_marks | (n_letters < 5)
     )
 
 
+def is_noise(c: Column) -> Column:
+    """Whether a fragment says too little: empty, borders, numbers, hardly a letter. Null counts as empty."""
+    t = _trim(F.coalesce(c, F.lit("")))
+    return _noise(t, words(t))
+
+
+def noise_line(t: Column) -> Column:
+    """``is_noise`` of a flattened text."""
+    return _noise(t, line_words(t))
+
+
+def decorative_line(t: Column, min_words: int = 2) -> Column:
+    """``is_decorative`` of a flattened text."""
+    w = line_words(t)
+    return _noise(t, w) | ((F.size(w) < min_words) & (t.rlike(rf"^([\d.,%₦N$€£+|/–—-]|{SPACE})+$") | (F.length(t) <= 2)))
+
+
 def is_decorative(c: Column, min_words: int = 2) -> Column:
     """Noise, or a single word that is a number, an amount or at most two characters."""
-    t = flatten(F.coalesce(c, F.lit("")))
-    return is_noise(t) | ((word_count(t) < min_words) & (t.rlike(rf"^([\d.,%₦N$€£+|/–—-]|{SPACE})+$") | (F.length(t) <= 2)))
-
+    return decorative_line(flatten(F.coalesce(c, F.lit(""))), min_words)
 
-def is_heading(c: Column, bold: Column, font: Column, body_font: Column) -> Column:
-    """Likely section heading: 1 to 16 words, and a known term or bold and large type.
 
-    The number of words is bounded as evidently meant; the published form
-    compares a list with a number there and cannot run.
-    """
-    t = flatten(c)
-    n = word_count(t)
+def heading_line(t: Column, bold: Column, font: Column, body_font: Column) -> Column:
+    """``is_heading`` of a flattened text."""
+    n = F.size(line_words(t))
     known = F.lit(False)
     for term in SECTION_TERMS:
         known = known | F.lower(t).contains(term)
@@ -184,6 +198,15 @@ def is_heading(c: Column, bold: Column, font: Column, body_font: Column) -> Colu
     return shape & (known | large)
 
 
+def is_heading(c: Column, bold: Column, font: Column, body_font: Column) -> Column:
+    """Likely section heading: 1 to 16 words, and a known term or bold and large type.
+
+    The number of words is bounded as evidently meant; the published form
+    compares a list with a number there and cannot run.
+    """
+    return heading_line(flatten(c), bold, font, body_font)
+
+
 def is_contents_page(c: Column) -> Column:
     """A page that names itself contents and has five lines or more that are bare page numbers."""
     numbers = F.size(F.filter(F.split(c, "\n", -1), lambda x: F.trim(x).rlike(r"^\d{1,3}$")))
@@ -191,6 +214,11 @@ def is_contents_page(c: Column) -> Column:
     return (low.contains("contents") | low.contains("in this report") | low.contains("\nindex")) & (numbers >= 5)
 
 
+def step(df, name: str, value: Column):
+    """``withColumn`` that the optimiser folds into nothing: what is dear and used many times over is worked out once."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def page_label(start: Column, end: Column) -> Column:
     return F.when(start.isNull() | end.isNull(), "—").when(start == end, start.cast("string")).otherwise(F.concat(start.cast("string"), F.lit("–"), end.cast("string")))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import overlap_share, same_column
-from ..functions.text import clean_text, flatten, is_contents_page, is_decorative, is_heading, is_noise, margin_form, pack_sentences, starts_list_item, word_count
+from ..functions.text import decorative_line, flatten, heading_line, is_contents_page, line_words, margin_form, noise_line, pack_sentences, starts_list_item, step
 
 # Fixed values.
 TOP, BOTTOM, MIN_PAGES, PAGE_SHARE = 0.08, 0.08, 5, 0.25
@@ -81,7 +81,7 @@ def drop_contents_pages(blocks: DataFrame) -> DataFrame:
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Blocks that are no decoration, with ``place`` from 1 on each page and ``columns``.
+    """Blocks that are no decoration, with ``flat`` (the text on one line), ``place`` from 1 on each page and ``columns``.
 
     Two columns are read where blocks that keep to the left, and such that keep to
     the right, have forty words each: what spans the page above the columns, the
@@ -89,8 +89,8 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy(*PAGE)
     width = F.col("page_width")
-    usable = blocks.where(~is_decorative(F.col("text"))).withColumns({
-        "__n": word_count(flatten(F.col("text"))), "__wide": F.col("x1") - F.col("x0") >= FULL_WIDTH * width, "__left": (F.col("x0") + F.col("x1")) / 2 < width / 2,
+    usable = step(blocks, "flat", flatten(F.coalesce("text", F.lit("")))).where(~decorative_line(F.col("flat"))).withColumns({
+        "__n": F.size(line_words(F.col("flat"))), "__wide": F.col("x1") - F.col("x0") >= FULL_WIDTH * width, "__left": (F.col("x0") + F.col("x1")) / 2 < width / 2,
     })
     words = lambda side: F.sum(F.when(side, F.col("__n")).otherwise(0)).over(page)
     two = (words(F.col("x1") <= width / 2 + COLUMN_GAP * width) >= COLUMN_WORDS) & (words(F.col("x0") >= width / 2 - COLUMN_GAP * width) >= COLUMN_WORDS)
@@ -103,10 +103,10 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def with_headings(ordered: DataFrame) -> DataFrame:
-    """Adds ``flat`` (the text on one line), ``body_font`` (median of the page's positive block fonts, else 0) and ``heading``."""
+    """Adds ``body_font`` (median of the page's positive block fonts, else 0) and ``heading``."""
     fonts = F.median(F.when(F.col("median_font_size") > 0, F.col("median_font_size"))).over(Window.partitionBy(*PAGE))
-    out = ordered.withColumns({"flat": flatten(F.col("text")), "body_font": F.coalesce(fonts, F.lit(0.0))})
-    return out.withColumn("heading", F.coalesce(is_heading(F.col("flat"), F.col("is_bold"), F.col("max_font_size"), F.col("body_font")), F.lit(False)))
+    out = ordered.withColumn("body_font", F.coalesce(fonts, F.lit(0.0)))
+    return step(out, "heading", F.coalesce(heading_line(F.col("flat"), F.col("is_bold"), F.col("max_font_size"), F.col("body_font")), F.lit(False)))
 
 
 def carried_before(rows: DataFrame, group: list[str], order: str, value: str, span: int = SPAN, levels: int = 2) -> DataFrame:
@@ -157,8 +157,8 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     joined = paragraph_starts(headed).where(~F.col("heading")).groupBy(*PAGE, "para").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "flat"))), lambda x: x["flat"]), " ").alias("whole")
     )
-    pieces = joined.where(~is_noise(F.col("whole"))).select(*PAGE, "para", F.posexplode(pack_sentences(clean_text(F.col("whole")), PARAGRAPH_WORDS)).alias("piece", "text"))
-    useful = pieces.withColumn("__n", word_count(F.col("text"))).where((F.col("__n") >= PIECE_WORDS) & ~is_noise(F.col("text")))
+    pieces = joined.where(~noise_line(F.col("whole"))).select(*PAGE, "para", F.posexplode(pack_sentences(F.col("whole"), PARAGRAPH_WORDS)).alias("piece", "text"))
+    useful = pieces.withColumn("__n", F.size(line_words(F.col("text")))).where((F.col("__n") >= PIECE_WORDS) & ~noise_line(F.col("text")))
     useful = useful.withColumn("__w", F.sum("__n").over(Window.partitionBy(*PAGE))).where(F.col("__w") >= PAGE_WORDS).drop("__n", "__w")
     return _join(useful, page_sections(headed), PAGE, "left")
 

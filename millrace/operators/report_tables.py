@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as tb
-from ..functions.text import clean_cell, word_count
+from ..functions.text import clean_cell, step, word_count
 from .layout import PAGE, _join
 
 KEY = [*PAGE, "table_index"]
@@ -45,11 +45,6 @@ def table_id(report: Column, page: Column, index: Column, m: Column) -> Column:
     return F.concat(report, F.format_string("_p%04d_table_%02d_", page.cast("long"), index.cast("long")), F.substring(digest, 1, 16))
 
 
-def _step(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``withColumn`` that the optimiser does not fold into the next: cells are used many times over, and folded steps multiply."""
-    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
-
-
 def table_records(tables: DataFrame, blocks: DataFrame) -> DataFrame:
     """One record a useful table.
 
@@ -58,15 +53,15 @@ def table_records(tables: DataFrame, blocks: DataFrame) -> DataFrame:
     rows, else the nearest text above. ``table_data`` holds headers and rows by header.
     """
     m = F.col("m")
-    t = _step(tables.where("matrix is not null"), "m", tb.rectangular(tb.clean_matrix(F.col("matrix")))).where(F.size("m") > 0)
-    t = _step(t, "m", tb.repair_rows(m)).where(tb.is_useful(m))
-    t = _step(_step(t, "column_count", tb.width(m)), "detected", F.transform("detected", clean_cell))
-    t = _step(t, "headers", tb.table_headers(F.col("detected"), m))
-    t = _step(t, "m", tb.without_header_row(m, F.col("headers"))).where(F.size("m") > 0)
+    t = step(tables.where("matrix is not null"), "m", tb.rectangular(tb.clean_matrix(F.col("matrix")))).where(F.size("m") > 0)
+    t = step(t, "m", tb.repair_rows(m)).where(tb.is_useful(m))
+    t = step(step(t, "column_count", tb.width(m)), "detected", F.transform("detected", clean_cell))
+    t = step(t, "headers", tb.table_headers(F.col("detected"), m))
+    t = step(t, "m", tb.without_header_row(m, F.col("headers"))).where(F.size("m") > 0)
     titles = nearest_titles(tables, blocks)
-    t = _step(_join(t, titles, KEY, "left"), "table_title", F.coalesce(tb.title_from_rows(m), "title"))
+    t = step(_join(t, titles, KEY, "left"), "table_title", F.coalesce(tb.title_from_rows(m), "title"))
     text = tb.retrieval_text(F.col("table_title"), F.col("headers"), m, F.col("ticker"), F.col("report_year"), F.col("page_number"))
-    t = _step(t, "rag_text", text)
+    t = step(t, "rag_text", text)
     return t.select(
         table_id(F.col("report_id"), F.col("page_number"), F.col("table_index"), m).alias("table_id"), "report_id", "ticker", "report_year", F.col("page_number").alias("pdf_page_number"),
         "table_index", "table_title", F.size("m").alias("row_count"), "column_count", F.struct("headers", tb.records(F.col("headers"), m).alias("rows")).alias("table_data"), "rag_text",

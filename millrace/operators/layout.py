@@ -3,11 +3,13 @@
 Input blocks: report_id, page_number, block_index, text, x0, y0, x1, y1,
 page_width, page_height, max_font_size, median_font_size, is_bold. Each step is a
 function of its own; ``read_report`` puts them together. Windows are partitioned by
-page. What goes from page to page, the section in force, is carried in spans of
-pages and spans of spans (``carried_before``), so a report of any length is no
-task's own.
+page, and joins on the page keep that partitioning, so blocks are shuffled once;
+paragraphs are written once and read for the sections and for themselves. What goes
+from page to page, the section in force, is carried in spans of pages and spans of
+spans (``carried_before``), so a report of any length is no task's own.
 
-Null report ids are a report, null page numbers a page; blocks without text are decoration.
+Blocks of a null report or page are pages of their own, which no table region and no
+section meets; blocks without text are decoration.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import overlap_share, same_column
-from ..functions.text import decorative_line, flatten, heading_line, is_contents_page, line_words, margin_form, noise_line, pack_sentences, starts_list_item, step
+from ..functions.text import decorative_line, flatten, heading_line, line_words, margin_form, noise_line, pack_sentences, starts_list_item, step
+from ..shared import kept
 
 # Fixed values.
 TOP, BOTTOM, MIN_PAGES, PAGE_SHARE = 0.08, 0.08, 5, 0.25
@@ -26,6 +29,8 @@ PARAGRAPH_WORDS, PIECE_WORDS, PAGE_WORDS = 180, 2, 10
 PAGE = ["report_id", "page_number"]
 #: Pages of a span, within which a value is carried by one window.
 SPAN = 1024
+#: Bytes of margin forms up to which they are broadcast; beyond, blocks and forms are shuffled by report and form.
+BROADCAST_BYTES = 16 << 20
 
 
 def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
@@ -43,10 +48,11 @@ def _join(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> Da
 
 
 def drop_table_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Blocks less those that a table (report_id, page_number, tx0, ty0, tx1, ty1) covers by half or more."""
-    t, page = _same(blocks, tables.select(*PAGE, "tx0", "ty0", "tx1", "ty1"), PAGE)
-    covered = overlap_share(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), *(F.col(f"t{c}") for c in ("x0", "y0", "x1", "y1"))) >= TABLE_OVERLAP
-    return blocks.join(t, page & covered, "left_anti")
+    """Blocks less those that a table (report_id, page_number, tx0, ty0, tx1, ty1) covers by half or more; the tables of a page come as one array."""
+    edges = ("x0", "y0", "x1", "y1")
+    regions = tables.groupBy(*PAGE).agg(F.collect_list(F.struct(*(f"t{c}" for c in edges))).alias("__tables"))
+    covered = F.exists("__tables", lambda t: overlap_share(*(F.col(c) for c in edges), *(t[f"t{c}"] for c in edges)) >= TABLE_OVERLAP)
+    return blocks.join(regions, PAGE, "left").where(~F.coalesce(covered, F.lit(False))).select(*blocks.columns)
 
 
 def repeated_margins(candidates: DataFrame, min_pages: int = MIN_PAGES, share: float = PAGE_SHARE) -> DataFrame:
@@ -63,8 +69,10 @@ def margin_blocks(blocks: DataFrame) -> DataFrame:
 
 def drop_margins(blocks: DataFrame) -> DataFrame:
     """Blocks less all whose text is that of a running header or footer of the report, wherever it stands."""
-    marks = repeated_margins(margin_blocks(blocks)).select("report_id", F.col("form").alias("__form"))
+    marks = kept(repeated_margins(margin_blocks(blocks)).select("report_id", F.col("form").alias("__form")), "margins")
     m, report = _same(blocks, marks, ["report_id"])
+    if (marks.agg(F.sum(F.octet_length("__form") + 64).alias("b")).first().b or 0) <= BROADCAST_BYTES:
+        m = F.broadcast(m)  # the blocks stay where they are
     return blocks.join(m, report & (margin_form(F.col("text")) == F.col("__form")), "left_anti")
 
 
@@ -74,10 +82,14 @@ def report_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def drop_contents_pages(blocks: DataFrame) -> DataFrame:
-    """Blocks of pages that are no table of contents."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
-    contents = blocks.groupBy(*PAGE).agg(F.array_join(lines, "\n").alias("all")).where(is_contents_page(F.col("all"))).select(*PAGE)
-    return _join(blocks, contents, PAGE, "left_anti")
+    """Blocks of pages that are no table of contents (``text.is_contents_page`` of the blocks' texts, one below the other), by sums over the page."""
+    page = Window.partitionBy(*PAGE)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    first = F.col("block_index") == F.min("block_index").over(page)
+    marked = low.contains("contents") | low.contains("in this report") | low.contains("\nindex") | (low.startswith("index") & ~first)
+    numbers = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x).rlike(r"^\d{1,3}$")))
+    sums = blocks.withColumns({"__marked": marked, "__numbers": numbers}).withColumns({"__any": F.max("__marked").over(page), "__all": F.sum("__numbers").over(page)})
+    return sums.where(~(F.col("__any") & (F.col("__all") >= 5))).select(*blocks.columns)
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -126,9 +138,9 @@ def carried_before(rows: DataFrame, group: list[str], order: str, value: str, sp
     return _join(local, earlier, [*group, cut], "left").withColumn("before", F.coalesce("__local", "__earlier")).drop(cut, "__local", "__earlier")
 
 
-def page_sections(headed: DataFrame) -> DataFrame:
-    """(report_id, page_number, section_title): the last heading up to each page's end, carried from page to page."""
-    pages = headed.groupBy(*PAGE).agg(F.max_by("flat", F.when(F.col("heading"), F.col("place"))).alias("__h"))
+def page_sections(headings: DataFrame) -> DataFrame:
+    """(report_id, page_number, section_title): the last heading up to each page's end, carried from page to page; ``headings`` has a row or more a page with flat, heading and place."""
+    pages = headings.groupBy(*PAGE).agg(F.max_by(F.when(F.col("heading"), F.col("flat")), F.when(F.col("heading"), F.col("place"))).alias("__h"))
     return carried_before(pages, ["report_id"], "page_number", "__h").select(*PAGE, F.coalesce("__h", "before").alias("section_title"))
 
 
@@ -153,14 +165,16 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     A piece has two words or more and is no noise, a page ten words or more. All
     pieces of a page carry the section that holds at the page's end.
     """
-    headed = with_headings(reading_order(drop_contents_pages(blocks)))
-    joined = paragraph_starts(headed).where(~F.col("heading")).groupBy(*PAGE, "para").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "flat"))), lambda x: x["flat"]), " ").alias("whole")
-    )
-    pieces = joined.where(~noise_line(F.col("whole"))).select(*PAGE, "para", F.posexplode(pack_sentences(F.col("whole"), PARAGRAPH_WORDS)).alias("piece", "text"))
+    headed = paragraph_starts(with_headings(reading_order(drop_contents_pages(blocks))))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "flat"))), lambda x: x["flat"])
+    # a heading is a paragraph of its own; these rows tell the sections as well
+    joined = kept(headed.groupBy(*PAGE, F.col("para").alias("place"), "heading").agg(F.array_join(lines, " ").alias("flat")), "paragraphs")
+    sections = page_sections(joined.select(*PAGE, "place", "heading", F.when(F.col("heading"), F.col("flat")).alias("flat")))
+    whole = joined.where(~F.col("heading")).where(~noise_line(F.col("flat")))
+    pieces = whole.select(*PAGE, F.col("place").alias("para"), F.posexplode(pack_sentences(F.col("flat"), PARAGRAPH_WORDS)).alias("piece", "text"))
     useful = pieces.withColumn("__n", F.size(line_words(F.col("text")))).where((F.col("__n") >= PIECE_WORDS) & ~noise_line(F.col("text")))
     useful = useful.withColumn("__w", F.sum("__n").over(Window.partitionBy(*PAGE))).where(F.col("__w") >= PAGE_WORDS).drop("__n", "__w")
-    return _join(useful, page_sections(headed), PAGE, "left")
+    return useful.join(sections, PAGE, "left")
 
 
 def read_report(blocks: DataFrame, tables: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions.scores import sampled
+from ..operators import judging as jd
 from ..operators import monitor as m
 from ..sources import fixtures as fx
 
@@ -89,12 +90,27 @@ def key_merge(spark, sf_dir):
 
 
 def judge_update(spark, sf_dir):
-    """Keyed update of scores and states."""
+    """Keyed update of scores and states."""
     i = fx.interactions(spark, sf_dir)
     j = i.where("cast(response_id as long) % 7 = 0 and status = 'completed'").select("response_id", F.lit(0.5).alias("score"), F.lit("completed").alias("status"))
     return m.apply_judgements(i, j).groupBy("judge_status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("relevance_score"), 6).alias("relevance"))
 
 
+def judge_lifecycle(spark, sf_dir):
+    """Every response's state of judging at the time of the last event, late and repeated outcomes included."""
+    events = fx.judge_events(spark, sf_dir)
+    now = fx.read(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp_ntz").alias("t")).first().t
+    return jd.judge_states(events, now)
+
+
+LIFE_SQL = f"""WITH {fx.JUDGE_EVENTS_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w, kind, score NULLS FIRST) AS r FROM jl WHERE kind IN ('judged', 'skipped', 'judge_failed')),
+g AS (SELECT id, min(w) FILTER (kind IN ('asked', 'request_failed')) AS asked_at, count(*) FILTER (kind = 'request_failed') > 0 AS failed, count(*) FILTER (kind = 'judging') > 0 AS started FROM jl GROUP BY id),
+s AS (SELECT g.*, o.w, o.kind, o.score, coalesce(o.w <= asked_at + INTERVAL 1 DAY, false) AND NOT failed AS in_time FROM g LEFT JOIN o ON o.id = g.id AND o.r = 1)
+SELECT id::VARCHAR AS response_id, asked_at, CASE WHEN failed THEN 'not_run' WHEN in_time THEN CASE kind WHEN 'judged' THEN 'completed' WHEN 'skipped' THEN 'skipped' ELSE 'failed' END
+  WHEN (SELECT max(ts) FROM je) > asked_at + INTERVAL 1 DAY THEN 'expired' WHEN started THEN 'running' ELSE 'pending' END AS judge_status, CASE WHEN in_time THEN score END AS score, CASE WHEN in_time THEN w END AS settled_at FROM s"""
+
+
 def judge_sample(spark, sf_dir):
     """Responses drawn for judging by their digest."""
     return fx.read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("response_id")).where(sampled(F.col("response_id"), 0.25))
@@ -138,6 +154,7 @@ SELECT b.time, relevance FROM b LEFT JOIN c USING (time)"""),
     "key_merge": (key_merge, "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN round(c_acctbal + 100, 2) ELSE c_acctbal END AS balance, CAST(CASE WHEN c_custkey % 6 = 0 THEN 2 ELSE 1 END AS INTEGER) AS version FROM customer"),
     "judge_update": (judge_update, f"""{_INTER}, u AS (SELECT CASE WHEN status = 'completed' AND CAST(response_id AS BIGINT) % 7 = 0 THEN 0.5::DOUBLE ELSE relevance_score END AS s, CASE WHEN status = 'completed' AND CAST(response_id AS BIGINT) % 7 = 0 THEN 'completed' ELSE judge_status END AS t FROM inter)
 SELECT t AS judge_status, count(*) AS n, round(avg(s), 6) AS relevance FROM u GROUP BY 1"""),
+    "judge_lifecycle": (judge_lifecycle, LIFE_SQL),
     "judge_sample": (judge_sample, f"{_INTER} SELECT response_id FROM inter WHERE judge_sampled"),
     "token_costs": (token_costs, f"{_INTER} SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(application_cost_usd), 6) AS cost_usd FROM inter GROUP BY 1"),
     "call_totals": (call_totals, f"""{_INTER}, c AS (SELECT *, unnest(range(1, CAST(response_id AS BIGINT) % 3 + 2)) AS call FROM inter)

@@ -194,3 +194,28 @@ t AS (
     list_transform(lines, lambda x, i: ['line ' || (i - 1), x, length(x)::VARCHAR]) FROM tw WHERE page_number % 8 = 5
 )""",
 }
+
+
+def judge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of judgements: questions, starts, and outcomes of which some come late, twice or never."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    later = lambda minutes: F.col("ts") + F.make_dt_interval(mins=minutes)
+    minutes = ((F.col("id") * 37) % 1800).cast("int")
+    outcome = F.when(F.col("id") % 7 == 0, "skipped").when(F.col("id") % 7 == 1, "judge_failed").otherwise("judged")
+    row = lambda on, at, kind, score: F.when(on, F.struct(at.alias("at"), kind.alias("kind"), score.cast("double").alias("score")))
+    rows = F.array(
+        row(F.lit(True), F.col("ts"), F.when(F.col("event_type") == "error", "request_failed").otherwise("asked"), F.lit(None)),
+        row(F.col("id") % 3 != 0, later((F.col("id") % 50).cast("int")), F.lit("judging"), F.lit(None)),
+        row(F.col("id") % 5 != 0, later(minutes), outcome, F.when(outcome == "judged", (F.col("id") % 101) / 100)),
+        row(F.col("id") % 11 == 0, later(minutes + 10), F.lit("judged"), F.lit(0.25)),
+    )
+    return e.select(F.col("id").cast("string").alias("response_id"), F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("response_id", "x.*")
+
+
+JUDGE_EVENTS_SQL = """je AS (SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, event_type, (event_id * 37) % 1800 AS mins, CASE event_id % 7 WHEN 0 THEN 'skipped' WHEN 1 THEN 'judge_failed' ELSE 'judged' END AS o FROM events),
+jl AS (
+  SELECT id, ts AS w, CASE WHEN event_type = 'error' THEN 'request_failed' ELSE 'asked' END AS kind, NULL::DOUBLE AS score FROM je
+  UNION ALL SELECT id, ts + to_minutes(id % 50), 'judging', NULL FROM je WHERE id % 3 <> 0
+  UNION ALL SELECT id, ts + to_minutes(mins), o, CASE WHEN o = 'judged' THEN (id % 101) / 100.0::DOUBLE END FROM je WHERE id % 5 <> 0
+  UNION ALL SELECT id, ts + to_minutes(mins + 10), 'judged', 0.25 FROM je WHERE id % 11 = 0
+)"""

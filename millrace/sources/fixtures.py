@@ -219,3 +219,27 @@ jl AS (
   UNION ALL SELECT id, ts + to_minutes(mins), o, CASE WHEN o = 'judged' THEN (id % 101) / 100.0::DOUBLE END FROM je WHERE id % 5 <> 0
   UNION ALL SELECT id, ts + to_minutes(mins + 10), 'judged', 0.25 FROM je WHERE id % 11 = 0
 )"""
+
+
+def counting_embedder():
+    """A deterministic model for queries and tests: three counts of a text. Every seventh length is refused; a batch's first call fails where a length is a multiple of five."""
+    seen = set()
+
+    def embed(texts):
+        if any(len(t) % 5 == 0 for t in texts) and len(texts) > 1 and (key := (len(texts), hash(texts[0]))) not in seen:
+            seen.add(key)
+            raise ConnectionError("busy")
+        return [ValueError("refused") if len(t) % 7 == 0 else [float(len(t)), float(t.count("e")), float(t.count("\n"))][: 2 if len(t) % 11 == 0 else 3] for t in texts]
+
+    return embed
+
+
+def length_judge():
+    """A deterministic judge: scores by length, now and then out of range or not JSON."""
+
+    def judge(pairs):
+        if any(lang == "de" and len(text) % 13 == 0 for text, lang in pairs):
+            raise TimeoutError("no answer")
+        return ["none" if len(text) % 17 == 0 else f'{{"relevance": {{"score": {(len(text) % 120) / 100}, "reason": "{lang}"}}}}' for text, lang in pairs]
+
+    return judge

@@ -25,9 +25,9 @@ def width(m: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(m, F.size)), F.lit(0))
 
 
-def rectangular(m: Column) -> Column:
-    """Rows padded with empty cells to the widest."""
-    w = width(m)
+def rectangular(m: Column, w: Column | None = None) -> Column:
+    """Rows padded with empty cells to the widest; ``w``, the width as a column, saves working it out for each row."""
+    w = width(m) if w is None else w
     return F.transform(m, lambda r: F.concat(r, F.array_repeat(F.lit(""), w - F.size(r))))
 
 
@@ -50,8 +50,8 @@ def repair_row(row: Column, columns: Column) -> Column:
     return F.when(columns <= 1, row).when(fits, F.concat(F.array(label), values)).otherwise(cells)
 
 
-def repair_rows(m: Column) -> Column:
-    w = width(m)
+def repair_rows(m: Column, w: Column | None = None) -> Column:
+    w = width(m) if w is None else w
     return F.transform(m, lambda r: repair_row(r, w))
 
 
@@ -94,12 +94,11 @@ def title_from_rows(m: Column) -> Column:
 def records(headers: Column, m: Column) -> Column:
     """A map of header to cell for every row with text; of equal headers the last cell stays."""
     full = F.filter(m, lambda r: F.exists(r, lambda c: c != ""))
-
-    def one(r):
-        entries = F.filter(F.transform(headers, lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get(r, i), F.lit("")).alias("value"), i.alias("i"))), lambda e: F.size(F.filter(F.slice(headers, e["i"] + 2, F.greatest(F.size(headers) - e["i"] - 1, F.lit(0))), lambda h: h == e["key"])) == 0)
-        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
-
-    return F.transform(full, one)
+    later = lambda i: F.slice(headers, i + 2, F.greatest(F.size(headers) - i - 1, F.lit(0)))
+    places = F.filter(F.transform(headers, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda e: ~F.array_contains(later(e["i"]), e["h"]))
+    one = lambda r, kept: F.map_from_entries(F.transform(kept, lambda e: F.struct(e["h"].alias("key"), F.coalesce(F.get(r, e["i"]), F.lit("")).alias("value"))))
+    # the array of one makes the places known by name, or they would be found again for each row
+    return F.transform(F.array(places), lambda kept: F.transform(full, lambda r: one(r, kept)))[0]
 
 
 def ordered_rows(headers: Column, rows: Column) -> Column:

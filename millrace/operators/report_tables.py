@@ -53,9 +53,10 @@ def table_records(tables: DataFrame, blocks: DataFrame) -> DataFrame:
     rows, else the nearest text above. ``table_data`` holds headers and rows by header.
     """
     m = F.col("m")
-    t = step(tables.where("matrix is not null"), "m", tb.rectangular(tb.clean_matrix(F.col("matrix")))).where(F.size("m") > 0)
-    t = step(t, "m", tb.repair_rows(m)).where(tb.is_useful(m))
-    t = step(step(t, "column_count", tb.width(m)), "detected", F.transform("detected", clean_cell))
+    t = step(tables.where("matrix is not null"), "m", tb.clean_matrix(F.col("matrix"))).where(F.size("m") > 0)
+    w = F.col("column_count")
+    t = step(step(t, "column_count", tb.width(m)), "m", tb.rectangular(m, w))
+    t = step(step(t, "m", tb.repair_rows(m, w)).where(tb.is_useful(m)), "detected", F.transform("detected", clean_cell))
     t = step(t, "headers", tb.table_headers(F.col("detected"), m))
     t = step(t, "m", tb.without_header_row(m, F.col("headers"))).where(F.size("m") > 0)
     titles = nearest_titles(tables, blocks)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import BORDERS, SECTION_TERMS
 from ..functions.tables import TITLE_WORDS
 from ..operators import layout as lo
 from ..operators import report_tables as rt
+from ..shared import shared_dir
+from ..sources import block_files as bf
 from ..sources import fixtures as fx
 
 _S = r"[\s\x{a0}]"
@@ -196,7 +200,20 @@ SELECT report_id || '_p' || lpad(page_number::VARCHAR, greatest(4, length(page_n
   report_id, report_id AS ticker, 2024::BIGINT AS report_year, page_number AS pdf_page_number, table_index::BIGINT AS table_index, table_title, len(m)::BIGINT AS row_count, w::BIGINT AS column_count, array_to_string(h, '|') AS headers,
   sha256(array_to_string(named, chr(10))) AS rows_sha256, length(rag)::BIGINT AS character_count, len({_words("rag")})::BIGINT AS word_count, sha256(rag) AS text_sha256 FROM r5"""
 
+def block_files(spark, sf_dir):
+    """Blocks written as JSON lines, the footers cut short, and read back: pages, blocks and lost lines of every report."""
+    b = fx.layout_blocks(spark, sf_dir).select("report_id", "page_number", "block_index", "text")
+    line = F.to_json(F.struct("*"))
+    cut = F.when(F.col("text").rlike("^Page [0-9]+ of the report$"), F.expr("substring(l, 1, length(l) - 1)")).otherwise(F.col("l"))
+    folder = f"{shared_dir(spark)}/millrace/blocks-{uuid.uuid4().hex}"
+    b.withColumn("l", line).select(cut.alias("value")).write.text(folder)
+    rows = bf.read_blocks(spark, folder, pattern="part-*", splitBytes=4 << 20)
+    lost = rows.agg(F.count_if(F.col("error").isNotNull()).alias("lost"))
+    return bf.report_counts(rows).crossJoin(F.broadcast(lost))
+
+
 QUERIES = {
+    "block_files": (block_files, _sql(select="SELECT report_id, count(DISTINCT page_number) AS pages, count(*) AS blocks, (SELECT count(*) FROM b WHERE regexp_matches(text, '^Page [0-9]+ of the report$')) AS lost FROM b WHERE NOT regexp_matches(text, '^Page [0-9]+ of the report$') GROUP BY 1")),
     "narrative_blocks": (narrative_blocks, _sql("inside", select="SELECT report_id, page_number, block_index::INTEGER AS block_index, sha256(text) AS sha256 FROM nt")),
     "running_margins": (running_margins, _sql("inside", "margins", select="SELECT report_id, form, pages FROM mr")),
     "body_blocks": (body_blocks, _sql("inside", "margins", select="SELECT report_id, page_number, block_index::INTEGER AS block_index FROM rb")),

@@ -1,7 +1,9 @@
 """The built index: documents by ticker and year, and an inverted index of their lexemes.
 
-A search reads the postings of its own words, scores only documents that have
-them, and fetches only the rows that the top-k keeps; no text is split at query time.
+Postings carry the document's ticker and year. A search reads the postings of its own
+words, filters and scores them without the documents, and then fetches the top-k by
+their ids, tickers and years, which prune folders and row groups; no text is split
+at query time.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from .search import FIELDS, top_k, with_filters
 
 @dataclass(frozen=True)
 class Index:
-    """``documents``: the unified rows with embeddings. ``postings``: term, document_id, places (pos, dense)."""
+    """``documents``: the unified rows with embeddings. ``postings``: term, document_id, ticker, report_year, places (pos, dense)."""
 
     documents: DataFrame
     postings: DataFrame
@@ -25,15 +27,16 @@ class Index:
 
 
 def postings(docs: DataFrame, analyzer: str = "english") -> DataFrame:
-    """(term, document_id, n, places) for each lexeme of a document.
+    """(term, document_id, ticker, report_year, n, places) for each lexeme of a document.
 
     ``pos`` counts all tokens, so that stop words keep their room; ``dense`` counts
     lexemes only, which is what a phrase needs.
     """
-    tokens = docs.select("document_id", lexemes(F.col("text"), analyzer).alias("t"))
+    key = ["document_id", "ticker", "report_year"]
+    tokens = docs.select(*key, lexemes(F.col("text"), analyzer).alias("t"))
     kept = F.filter(F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: x["term"].isNotNull())
-    one = tokens.select("document_id", F.posexplode(kept).alias("dense", "x")).select("document_id", "x.term", F.struct(F.col("x.pos").alias("pos"), "dense").alias("place"))
-    return one.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+    one = tokens.select(*key, F.posexplode(kept).alias("dense", "x")).select(*key, "x.term", F.struct(F.col("x.pos").alias("pos"), "dense").alias("place"))
+    return one.groupBy("term", *key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
 
 
 def check_counts(narratives: DataFrame, tables: DataFrame, documents: DataFrame) -> dict[str, int]:
@@ -56,32 +59,30 @@ def check_embeddings(counts: dict[str, int], whole: bool) -> None:
 def build_index(narratives: DataFrame, tables: DataFrame, embeddings: DataFrame, path: str, *, analyzer: str = "english", whole: bool = False) -> dict[str, int]:
     """Write documents and postings under ``path``, replacing what is there, and return the checked counts.
 
-    Documents are partitioned by ticker and year, so that filters read only their
-    folders; postings are dealt by ranges of terms and sorted, so that the row-group
-    statistics of a file lead to a word.
+    Documents are partitioned by ticker and year, dealt by ranges so that a folder has
+    few files, and sorted by id within them; postings are dealt by ranges of terms and
+    sorted, so that the row-group statistics of a file lead to a word.
     """
-    docs = narratives.unionByName(tables).join(embeddings, "document_id", "left")
-    docs.write.mode("overwrite").partitionBy("ticker", "report_year").parquet(f"{path}/documents")
-    index = load_index(docs.sparkSession, path, analyzer)
-    counts = check_counts(narratives, tables, index.documents)
+    docs, spark = narratives.unionByName(tables).join(embeddings, "document_id", "left"), narratives.sparkSession
+    order = ["ticker", "report_year", "document_id"]
+    docs.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("ticker", "report_year").parquet(f"{path}/documents")
+    stored = index_documents(spark, path)
+    counts = check_counts(narratives, tables, stored)
     check_embeddings(counts, whole)
-    postings(index.documents, analyzer).repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
-    return counts | {"postings": index_postings(docs.sparkSession, path).count()}
+    postings(stored, analyzer).repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
+    return counts | {"postings": index_postings(spark, path).count()}
+
+
+def index_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/documents").withColumns({"ticker": F.col("ticker").cast("string"), "report_year": F.col("report_year").cast("int")})
 
 
 def index_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, document_id string, n long, places array<struct<pos:int,dense:int>>").parquet(f"{path}/postings")
+    return spark.read.schema("term string, document_id string, ticker string, report_year int, n long, places array<struct<pos:int,dense:int>>").parquet(f"{path}/postings")
 
 
 def load_index(spark: SparkSession, path: str, analyzer: str = "english") -> Index:
-    docs = spark.read.parquet(f"{path}/documents").withColumns({"ticker": F.col("ticker").cast("string"), "report_year": F.col("report_year").cast("int")})
-    try:
-        posts = index_postings(spark, path)
-    except Exception as e:  # before the first build has written them
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        posts = spark.createDataFrame([], "term string, document_id string, n long, places array<struct<pos:int,dense:int>>")
-    return Index(docs, posts, analyzer)
+    return Index(index_documents(spark, path), index_postings(spark, path), analyzer)
 
 
 def _has(words: Column, t: Term) -> Column:
@@ -108,8 +109,8 @@ def search_index(index: Index, query: str, top_k_: int = 10, *, ticker: str | No
     parsed = [b for b in parse_query(query, index.analyzer) if any(not t.negated for t in b)]
     positive = query_words(parsed)
     every = sorted({w for b in parsed for t in b for w in t.words})
-    rows = index.postings.where(F.col("term").isin(every) if every else F.lit(False))
-    hits = rows.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("words"))
+    rows = with_filters(index.postings.where(F.col("term").isin(every) if every else F.lit(False)), ticker, report_year)
+    hits = rows.groupBy("document_id").agg(F.min("ticker").alias("ticker"), F.min("report_year").alias("report_year"), F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("words"))
     any_of = F.lit(False)
     for branch in parsed:
         all_of = F.lit(True)
@@ -122,9 +123,13 @@ def search_index(index: Index, query: str, top_k_: int = 10, *, ticker: str | No
         return F.coalesce(F.transform(F.col("words")[word], lambda x: F.struct(x["pos"].alias("i"), F.lit(k).alias("k"))), empty)
 
     places = F.array_sort(F.concat(empty, *(numbered(w, k) for k, w in enumerate(positive, 1))))
-    scored = hits.where(any_of).select("document_id", F.round(cover_density_of(places, max(1, len(positive))), 9).alias("score"))
-    docs = with_filters(index.documents, ticker, report_year)
-    if ticker is not None or report_year is not None:
-        scored = scored.join(docs.select("document_id"), "document_id", "left_semi")
-    best = top_k(scored, top_k_)
-    return docs.join(F.broadcast(best), "document_id").select(*FIELDS, "score", "rank")
+    scored = hits.where(any_of).select("document_id", "ticker", "report_year", F.round(cover_density_of(places, max(1, len(positive))), 9).alias("score"))
+    best = top_k(scored, top_k_).collect()  # at most k rows
+    spark = index.documents.sparkSession
+    ranked = spark.createDataFrame([(r.document_id, r.score, r["rank"]) for r in best], "document_id string, score double, rank int")
+    wanted = index.documents.where(F.col("document_id").isin([r.document_id for r in best]) if best else F.lit(False))
+    for column in ("ticker", "report_year"):
+        values = {r[column] for r in best}
+        if values and None not in values:
+            wanted = wanted.where(F.col(column).isin(sorted(values)))
+    return wanted.join(F.broadcast(ranked), "document_id").select(*FIELDS, "score", "rank")

@@ -71,7 +71,7 @@ def border_ratio(c: Column) -> Column:
 
 def is_layout_line(c: Column) -> Column:
     """Whether a trimmed line only draws a border, or nearly."""
-    return (c == "") | c.rlike(f"^({SPACE}|{_BORDER_CLASS})+$") | ((letters(c) < 3) & (border_ratio(c) >= 0.40))
+    return (c == "") | c.rlike(f"^({SPACE}|{_BORDER_CLASS})+$") | ((border_ratio(c) >= 0.40) & (letters(c) < 3))
 
 
 def drop_layout_lines(c: Column) -> Column:
@@ -82,8 +82,10 @@ def drop_layout_lines(c: Column) -> Column:
 
 def margin_form(c: Column) -> Column:
     """What a running header or footer has in common over pages: numbers masked, case and blanks folded."""
-    c = F.lower(drop_layout_lines(clean_text(c)))
-    return collapse(F.regexp_replace(c, r"\p{Nd}+", "<number>"))
+    line = flatten(c)
+    one = F.when(is_layout_line(line), "").otherwise(line)
+    plain = F.when(c.rlike("[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"), drop_layout_lines(clean_text(c))).otherwise(one)
+    return collapse(F.regexp_replace(F.lower(plain), r"\p{Nd}+", "<number>"))
 
 
 def dedup_form(c: Column) -> Column:
@@ -163,29 +165,25 @@ def line_words(t: Column) -> Column:
     return F.array_remove(F.split(t, " ", -1), "")
 
 
-def _noise(t: Column, w: Column) -> Column:
-    n_letters = letters(t)
-    only_marks = F.forall(w, lambda x: x.rlike(rf"^({_BORDER_CLASS}|[.\d])+$"))
-    return (
-        (t == "") | (border_ratio(t) >= 0.25) | t.rlike(rf"^({SPACE}|{_BORDER_CLASS}|\.){{3,}}$") | ((F.size(w) <= 2) & (n_letters == 0)) | only_marks | (n_letters < 5)
-    )
+def _noise(t: Column) -> Column:
+    """A quarter of border characters, or fewer than five letters: which texts that are empty, or borders, marks and numbers alone, have as well."""
+    return (border_ratio(t) >= 0.25) | ~t.rlike(r"^(?:[^\p{L}]*\p{L}){5}")
 
 
 def is_noise(c: Column) -> Column:
     """Whether a fragment says too little: empty, borders, numbers, hardly a letter. Null counts as empty."""
-    t = _trim(F.coalesce(c, F.lit("")))
-    return _noise(t, words(t))
+    return _noise(_trim(F.coalesce(c, F.lit(""))))
 
 
 def noise_line(t: Column) -> Column:
     """``is_noise`` of a flattened text."""
-    return _noise(t, line_words(t))
+    return _noise(t)
 
 
 def decorative_line(t: Column, min_words: int = 2) -> Column:
     """``is_decorative`` of a flattened text."""
-    w = line_words(t)
-    return _noise(t, w) | ((F.size(w) < min_words) & (t.rlike(rf"^([\d.,%₦N$€£+|/–—-]|{SPACE})+$") | (F.length(t) <= 2)))
+    few = ~t.contains(" ") if min_words == 2 else F.size(line_words(t)) < min_words
+    return _noise(t) | (few & (t.rlike(rf"^([\d.,%₦N$€£+|/–—-]|{SPACE})+$") | (F.length(t) <= 2)))
 
 
 def is_decorative(c: Column, min_words: int = 2) -> Column:
@@ -195,13 +193,13 @@ def is_decorative(c: Column, min_words: int = 2) -> Column:
 
 def heading_line(t: Column, bold: Column, font: Column, body_font: Column) -> Column:
     """``is_heading`` of a flattened text."""
-    n = F.size(line_words(t))
     known = F.lit(False)
     for term in SECTION_TERMS:
         known = known | F.lower(t).contains(term)
     large = bold & (body_font > 0) & (font >= 1.25 * body_font)
-    shape = (n >= 1) & (n <= 16) & (F.length(t) <= 160) & ~t.rlike("[.,;]$") & ~t.rlike(rf"^([\d./%₦N$€£|–—-]|{SPACE})+$")
-    return shape & (known | large)
+    # the cheap tests come first, as most blocks fail them
+    shape = (F.length(t) <= 160) & ~t.rlike("[.,;]$") & F.size(line_words(t)).between(1, 16) & ~t.rlike(rf"^([\d./%₦N$€£|–—-]|{SPACE})+$")
+    return shape & (F.coalesce(large, F.lit(False)) | known)
 
 
 def is_heading(c: Column, bold: Column, font: Column, body_font: Column) -> Column:

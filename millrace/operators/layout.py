@@ -102,7 +102,7 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     page = Window.partitionBy(*PAGE)
     width = F.col("page_width")
     usable = step(blocks, "flat", flatten(F.coalesce("text", F.lit("")))).where(~decorative_line(F.col("flat"))).withColumns({
-        "__n": F.size(line_words(F.col("flat"))), "__wide": F.col("x1") - F.col("x0") >= FULL_WIDTH * width, "__left": (F.col("x0") + F.col("x1")) / 2 < width / 2,
+        "__n": 1 + F.length("flat") - F.length(F.translate("flat", " ", "")), "__wide": F.col("x1") - F.col("x0") >= FULL_WIDTH * width, "__left": (F.col("x0") + F.col("x1")) / 2 < width / 2,
     })
     words = lambda side: F.sum(F.when(side, F.col("__n")).otherwise(0)).over(page)
     two = (words(F.col("x1") <= width / 2 + COLUMN_GAP * width) >= COLUMN_WORDS) & (words(F.col("x0") >= width / 2 - COLUMN_GAP * width) >= COLUMN_WORDS)

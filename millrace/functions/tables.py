@@ -58,8 +58,10 @@ def repair_rows(m: Column, w: Column | None = None) -> Column:
 def unique_headers(h: Column) -> Column:
     """Blank names become ``column_i``; the k-th use of a name gets ``_k`` from the second on."""
     named = F.transform(h, lambda c, i: F.when(F.trim(c) == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(F.trim(c)))
-    seen = lambda i: F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda x: x == F.element_at(named, i + 1)))
-    return F.transform(named, lambda c, i: F.when(seen(i) > 1, F.concat(c, F.lit("_"), seen(i).cast("string"))).otherwise(c))
+    seen = lambda names, c, i: F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda x: x == c))
+    one = lambda names, c, i: F.when(seen(names, c, i) > 1, F.concat(c, F.lit("_"), seen(names, c, i).cast("string"))).otherwise(c)
+    # the array of one makes the names known by name, or all would be made again for each pair of them
+    return F.transform(F.array(named), lambda names: F.transform(names, lambda c, i: one(names, c, i)))[0]
 
 
 def table_headers(detected: Column, m: Column) -> Column:

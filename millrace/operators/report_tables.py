@@ -28,7 +28,7 @@ def nearest_titles(tables: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     band = lambda y: F.floor(y / tb.TITLE_DISTANCE).cast("int")
     asks = tables.select(*KEY, "tx0", "ty0", "tx1", F.explode(F.array(band(F.col("ty0")), band(F.col("ty0")) - 1)).alias("band"))
-    texts = blocks.select(*PAGE, "block_index", clean_cell(F.col("text")).alias("title"), "x0", "x1", "y1", band(F.col("y1")).alias("band"))
+    texts = step(blocks.select(*PAGE, "block_index", "text", "x0", "x1", "y1", band(F.col("y1")).alias("band")), "title", clean_cell(F.col("text"))).drop("text")
     met = _join(asks, texts, [*PAGE, "band"], "inner")
     fit = met.where(tb.is_title_candidate(F.col("title"), F.col("y1"), F.col("x0"), F.col("x1"), F.col("tx0"), F.col("ty0"), F.col("tx1")))
     return fit.groupBy(*KEY).agg(F.min_by("title", F.struct(F.col("ty0") - F.col("y1"), "block_index")).alias("title"))

@@ -171,7 +171,9 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     joined = kept(headed.groupBy(*PAGE, F.col("para").alias("place"), "heading").agg(F.array_join(lines, " ").alias("flat")), "paragraphs")
     sections = page_sections(joined.select(*PAGE, "place", "heading", F.when(F.col("heading"), F.col("flat")).alias("flat")))
     whole = joined.where(~F.col("heading")).where(~noise_line(F.col("flat")))
-    pieces = whole.select(*PAGE, F.col("place").alias("para"), F.posexplode(pack_sentences(F.col("flat"), PARAGRAPH_WORDS)).alias("piece", "text"))
+    # most paragraphs are short, which blanks tell at little cost
+    cut = F.when(F.size(line_words(F.col("flat"))) <= PARAGRAPH_WORDS, F.array("flat")).otherwise(pack_sentences(F.col("flat"), PARAGRAPH_WORDS))
+    pieces = whole.select(*PAGE, F.col("place").alias("para"), F.posexplode(cut).alias("piece", "text"))
     useful = pieces.withColumn("__n", F.size(line_words(F.col("text")))).where((F.col("__n") >= PIECE_WORDS) & ~noise_line(F.col("text")))
     useful = useful.withColumn("__w", F.sum("__n").over(Window.partitionBy(*PAGE))).where(F.col("__w") >= PAGE_WORDS).drop("__n", "__w")
     return useful.join(sections, PAGE, "left")

@@ -30,8 +30,9 @@ from .common import map_arrow, read_table, ship
 
 DIMENSIONS, SEED, FIXED = 1024, 7, 1 << 20
 _TABLE_ROWS, _CHUNK = 16_000, 4096
-#: A letter from U+0180 on is two symbols: its block of 128 code points (modulo this number) and its place there.
-_BLOCKS, _PLACES = 32, 128
+#: A letter from U+0180 on is two symbols: its block of 128 code points and its place there, so no two letters fall together.
+_PLACES = 128
+_BLOCKS = 0x110000 // _PLACES
 
 
 @functools.lru_cache(1)
@@ -56,7 +57,7 @@ def letters(text: str) -> np.ndarray:
         far = np.isin(cps, far[[chr(cp).isalpha() for cp in far]])
         first = np.cumsum(1 + far) - 1 - far
         out = np.repeat(out, 1 + far)
-        out[first[far]] = high + (cps[far] // _PLACES) % _BLOCKS
+        out[first[far]] = high + cps[far] // _PLACES
         out[first[far] + 1] = high + _BLOCKS + cps[far] % _PLACES
     out = np.concatenate(([0], out, [0]))
     return out[np.concatenate(([True], (out[1:] > 0) | (out[:-1] > 0)))]
@@ -66,25 +67,38 @@ class Profiles:
     """Trigram vectors, made when first met and kept up to a bound."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        self.n = _classes()[1] + _BLOCKS + _PLACES
+        self.low = _classes()[1]
+        self.n = self.low + _BLOCKS + _PLACES
         one = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (self.n, dimensions))
         self.parts = [np.roll(one, k, axis=1) for k in (2, 1, 0)]
         self.dimensions = dimensions
-        self.row = np.full(self.n**3, -1, np.int32)
+        # places in the table: of trigrams of letters below U+0180 in an array, of all others in a dictionary
+        self.row, self.far = np.full(self.low**3, -1, np.int32), {}
         self.table, self.used = np.empty((_TABLE_ROWS, dimensions), np.int8), 0
 
-    def _rows(self, codes: np.ndarray) -> np.ndarray:
-        at = self.row[codes]
+    def _known(self, codes: np.ndarray, base: int) -> np.ndarray:
+        if base == self.low:
+            return self.row[codes]
+        return np.fromiter((self.far.get(c, -1) for c in codes.tolist()), np.int32, len(codes))
+
+    def _rows(self, codes: np.ndarray, base: int) -> np.ndarray:
+        """Rows of the table that hold the vectors of distinct trigrams, whose symbols are digits to ``base``."""
+        at = self._known(codes, base)
         new = codes[at < 0]
         if len(new):
             if self.used + len(new) > _TABLE_ROWS:
                 self.row[:], self.used = -1, 0
+                self.far.clear()
                 new = codes
-            a, b, c = new // (self.n * self.n), new // self.n % self.n, new % self.n
-            self.table[self.used : self.used + len(new)] = self.parts[0][a] * self.parts[1][b] * self.parts[2][c]
-            self.row[new] = np.arange(self.used, self.used + len(new))
+            a, b, c = new // (base * base), new // base % base, new % base
+            places = np.arange(self.used, self.used + len(new))
+            self.table[places] = self.parts[0][a] * self.parts[1][b] * self.parts[2][c]
+            if base == self.low:
+                self.row[new] = places
+            else:
+                self.far.update(zip(new.tolist(), places.tolist()))
             self.used += len(new)
-            at = self.row[codes]
+            at = self._known(codes, base)
         return at
 
     def vector(self, text: str | None) -> np.ndarray | None:
@@ -92,10 +106,11 @@ class Profiles:
         s = letters(text) if text else np.zeros(1, np.int64)
         if len(s) < 3:
             return None
-        codes, counts = np.unique((s[:-2] * self.n + s[1:-1]) * self.n + s[2:], return_counts=True)
+        base = self.low if s.max() < self.low else self.n
+        codes, counts = np.unique((s[:-2] * base + s[1:-1]) * base + s[2:], return_counts=True)
         total = np.zeros(self.dimensions, np.float32)
         for i in range(0, len(codes), _CHUNK):
-            total += counts[i : i + _CHUNK].astype(np.float32) @ self.table[self._rows(codes[i : i + _CHUNK])].astype(np.float32)
+            total += counts[i : i + _CHUNK].astype(np.float32) @ self.table[self._rows(codes[i : i + _CHUNK], base)].astype(np.float32)
         size = float(np.sqrt(total @ total))
         return total / size if size else total
 

@@ -95,7 +95,7 @@ def test_language_id_edge_cases(spark):
 def test_language_id_tells_letters_of_other_scripts():
     """Letters beyond Latin keep apart: no two of a script, and no two scripts, give the same symbols."""
     seen = {}
-    for a, b in ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x4E00, 0x4E7F)):
+    for a, b in ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x3041, 0x3096), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x20400)):
         for cp in range(a, b + 1):
             if chr(cp).isalpha() and chr(cp).lower() == chr(cp):
                 key = tuple(langid.letters(chr(cp)).tolist())
@@ -104,6 +104,24 @@ def test_language_id_tells_letters_of_other_scripts():
     assert langid.letters("aя漢b").tolist()[0] == 0 and len(langid.letters("aя漢b")) == 2 + 2 + 4
 
 
+def test_bundles_and_cosines_in_plain_python():
+    """Sums of bound letter vectors, made one trigram at a time; letters without a common trigram are nearly at right angles."""
+    model = langid.Profiles(256, 3)
+    for text in ("the Cat sat", "это 漢字 and 한국어", "a" * 50 + " b漢" * 9, "\U00020001\U00020002 x"):
+        s = langid.letters(text).tolist()
+        want = np.zeros(256)
+        for a, b, c in zip(s, s[1:], s[2:]):
+            want += np.roll(model.parts[2][a], 2).astype(int) * np.roll(model.parts[2][b], 1) * model.parts[2][c]
+        for _ in range(2):  # made anew, then from the table
+            got = model.vector(text)
+            assert np.allclose(got, want / np.linalg.norm(want), atol=1e-5)
+    one, two = ("".join(chr(k + i) for i in range(0, 120, 2)) for k in (0x4E00, 0x5E00))
+    assert abs(float(langid.Profiles().vector(one) @ langid.Profiles().vector(two))) < 0.2
+    small = langid.Profiles(64, 1)
+    small.used = langid._TABLE_ROWS - 1  # the table is full: it is emptied and filled again
+    assert np.allclose(small.vector("漢字 the"), langid.Profiles(64, 1).vector("漢字 the"))
+
+
 def test_language_id_on_scripts_with_ties_and_repeats(spark):
     train = [("αυτο ειναι ενα κειμενο", "el"), ("это простой текст на русском", "ru"), ("זה טקסט פשוט בעברית", "he"), ("the plain text is here", "en")]
     rows = [(i, t, g) for i, (t, g) in enumerate(train)] + [(None, "это текст", None), (9, "ενα κειμενο", None), (9, "ενα κειμενο", None), (8, "text " * 50_000, None)]

@@ -7,15 +7,16 @@ assistant turns, the only ones that carry loss. A turn is rendered as
 ``<|im_start|>role\\ntext<|im_end|>\\n``; these markers inside a text are broken by
 a blank, so a text cannot open or close a turn. Only DataFrame functions are used.
 
-Turns carry their pair's id and side through one shuffle on the pair id; a task
-holds the turns of single pairs only.
+Turns carry their pair and side through one shuffle on the pair (its id and both
+members); a task holds the turns of single pairs only.
 
 Edge cases: null role or text counts as empty; turns are ordered by turn (nulls
 first), role and text, and repeated rows are repeated turns; rows with null
 conv_id are ignored; a conversation whose partner has no turns has an empty
 prompt and the partner's completion is empty; equal conversations have empty
-completions; pairs with a null member are ignored; repeated pairs count once; two
-pairs of one null pair_id are one group of turns; other columns are ignored.
+completions; pairs with a null member are ignored; repeated pairs count once;
+different pairs under one pair_id, null or not, give a row each; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     ``conversations``: conv_id, turn, role, text. ``pairs``: pair_id, chosen_id, rejected_id.
     """
     sides = pairs.where("chosen_id is not null and rejected_id is not null").select("pair_id", "chosen_id", "rejected_id").distinct().select(
-        "pair_id", F.explode(F.array(F.struct(F.col("chosen_id").alias("conv_id"), F.lit(0).alias("side")), F.struct(F.col("rejected_id").alias("conv_id"), F.lit(1).alias("side")))).alias("s")
-    ).select("pair_id", "s.conv_id", "s.side")
+        "pair_id", "chosen_id", "rejected_id",
+        F.explode(F.array(F.struct(F.col("chosen_id").alias("conv_id"), F.lit(0).alias("side")), F.struct(F.col("rejected_id").alias("conv_id"), F.lit(1).alias("side")))).alias("s"),
+    ).select("pair_id", "chosen_id", "rejected_id", "s.conv_id", "s.side")
     turns = conversations.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.join(sides, "conv_id").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("all"))
+    rows = turns.join(sides, "conv_id").groupBy("pair_id", "chosen_id", "rejected_id").agg(F.sort_array(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("all"))
     kind = "array<struct<role:string,text:string>>"
     side = "cast(transform(filter(all, x -> x.side = {}), x -> struct(x.role, x.text)) as " + kind + ")"
     both = rows.select("pair_id", F.expr(side.format(0)).alias("c"), F.expr(side.format(1)).alias("r"))

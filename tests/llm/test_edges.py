@@ -93,3 +93,12 @@ def test_packed_null_and_repeated_ids_at_size(spark, tmp_path):
     got = packed.read_packed(spark, folder, packed.write_packed(spark.createDataFrame(rows, "doc_id long, text string"), folder, shards=7)).collect()
     starts = sorted((r.start, r.n_tokens) for r in got)
     assert len(got) == 3000 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and sum(r.doc_id is None for r in got) == 1000
+
+
+def test_pairs_under_one_id_are_kept_apart(spark):
+    turns = [(i, 0, "user", f"q{i}") for i in (1, 2, 3, 4)] + [(i, 1, "assistant", f"a{i}") for i in (1, 2, 3, 4)]
+    pairs = spark.createDataFrame([(None, 1, 2), (None, 3, 4), (5, 1, 3), (5, 2, 4), (5, 2, 4)], PAIRS)
+    got = chat.format_preferences(spark.createDataFrame(turns, TURNS), pairs).collect()
+    firsts = sorted((str(r.pair_id), r.chosen.split("\n")[1][:2], r.rejected.split("\n")[1][:2]) for r in got)
+    assert firsts == [("5", "q1", "q3"), ("5", "q2", "q4"), ("None", "q1", "q2"), ("None", "q3", "q4")]
+    assert all(r.n_prefix == 0 and r.n_chosen == r.n_rejected == 2 for r in got)

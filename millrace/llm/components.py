@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 MAX_ROUNDS = 60
+#: Members of a block in which a large bucket's members are held against each other.
+BLOCK = 1024
 
 
 def _written_edges(df: DataFrame) -> tuple[DataFrame, str, tuple]:
@@ -81,6 +83,15 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.where("a <> b").distinct()
 
 
+def _block_pairs(rest: DataFrame) -> DataFrame:
+    """(a, ta, b, tb): members of different components of a bucket, each pair once; no task holds more than two blocks of a bucket at a time."""
+    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
+    dealt = rest.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    left = dealt.select("key", F.col("i").alias("lo"), F.explode(F.expr("sequence(i, g - 1)")).alias("hi"), F.col("node").alias("a"), F.col("tag").alias("ta"), F.col("component").alias("ca"))
+    right = dealt.select("key", F.col("i").alias("hi"), F.explode(F.expr("sequence(0, i)")).alias("lo"), F.col("node").alias("b"), F.col("tag").alias("tb"), F.col("component").alias("cb"))
+    return left.join(right, ["key", "lo", "hi"]).where("ca <> cb and (lo < hi or a < b)").select("a", "ta", "b", "tb")
+
+
 def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_over: int = 64, pairs: DataFrame | None = None) -> DataFrame:
     """(id, component) of the relation that ``confirm`` holds, over nodes that share a bucket.
 
@@ -91,11 +102,13 @@ def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_ove
     component can add nothing and goes, and so does each head, which has met all
     members. In the few buckets left, members of different components are held
     against each other, so that no link is lost: by ``settle``, which takes
-    (key, node, component) and returns links (a, b), or by a join and ``confirm``.
+    (key, node, component) and returns links (a, b), or by ``confirm`` over a join
+    in which a bucket goes in blocks of about ``BLOCK`` members, each pair of blocks
+    one key; what ``confirm`` asks of the tags first becomes the join's own condition.
 
     With ``split``, which takes the tag's name and returns an array, members of a
-    bucket of over ``split_over`` are dealt to smaller ones by its elements; they
-    are tied in both, but held against each other in the smaller ones only.
+    bucket of over ``split_over`` are tied to a head in smaller buckets, by its
+    elements, as well: this spares comparisons, and no pair depends on it.
     ``pairs`` (a, ta, b, tb) are confirmed as well; these are buckets of two.
     Nodes without a link are not in the result.
     """
@@ -113,9 +126,7 @@ def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_ove
         crowds = kept(live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_over).select("key"), "crowds")
         if not crowds.isEmpty():
             dealt = live.join(crowds, "key").select(F.xxhash64("key", F.lit(0)).alias("old"), "node", "tag", F.explode(split("tag")).alias("part"))
-            dealt = kept(dealt.select(F.xxhash64("old", "part").alias("key"), "node", "tag"), "buckets")
-            ties = live.unionByName(dealt)
-            live = live.join(crowds, "key", "left_anti").unionByName(dealt)
+            ties = live.unionByName(dealt.select(F.xxhash64("old", "part").alias("key"), "node", "tag"))
     met = star_pairs(ties)
     links = kept(confirm(met if pairs is None else met.unionByName(pairs)), "links")
     found = connected_components(links)
@@ -130,9 +141,7 @@ def link_buckets(buckets: DataFrame, confirm, settle=None, split=None, split_ove
         if settle is not None:
             more = settle(rest)
         else:
-            left = rest.select("key", F.col("node").alias("a"), F.col("tag").alias("ta"), F.col("component").alias("ca"))
-            right = rest.select("key", F.col("node").alias("b"), F.col("tag").alias("tb"), F.col("component").alias("cb"))
-            more = confirm(left.join(right, "key").where("ca < cb").select("a", "ta", "b", "tb"))
+            more = confirm(_block_pairs(rest))
         found = connected_components(links.unionByName(kept(more, "links")))
     for path in paths:
         forget(spark, path)

@@ -1,9 +1,11 @@
 """Work that grew faster than the rows: small tables with the bad shape, held against their SQL or plain Python."""
 
+import random
 import time
 
 import duckdb
 
+from millrace.operators import evaluate
 from millrace.plans import ingestion
 from tests import oracle
 
@@ -18,3 +20,21 @@ def test_table_records_of_long_tables(spark, sf_dir, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     assert oracle.rows(got) == oracle.rows(con.sql(ingestion.TABLE_SQL).df())
+
+
+def test_later_partners_over_blocks(spark, monkeypatch):
+    """Blocks of a few documents, ids that repeat, rows without a company or a type; every pair held against every other."""
+    monkeypatch.setattr(evaluate, "BLOCK", 7)
+    rng = random.Random(5)
+    docs = [(f"d{rng.randrange(150):03}", rng.choice(["a", "a", "b", None]), rng.choice([2023, 2024]), "r", rng.choice(["n", "t", None]), rng.choice(["", "One", "Two", None]), " ".join(rng.sample(["cash", "risk", "loan", "x"], 2))) for _ in range(160)]
+    df = spark.createDataFrame(docs, "document_id string, ticker string, report_year int, report_id string, content_type string, section_title string, text string")
+    best = {}
+    for a in docs:
+        for b in docs:
+            if a[0] < b[0] and a[1] is not None and a[1:3] == b[1:3] and a[4] and b[4]:
+                score = (a[4] == b[4]) + 3 * bool(a[5] and a[5] == b[5]) + sum(t in a[6] and t in b[6] for t in ("cash", "risk", "loan"))
+                if score:
+                    best.setdefault(a[0], []).append((-score, b[0]))
+    want = sorted((a, b, -s) for a, x in best.items() for s, b in sorted(x)[:4])
+    got = evaluate.same_report_pairs(df, ["cash", "risk", "loan"]).collect()
+    assert sorted((r.left_id, r.right_id, r.score) for r in got) == want

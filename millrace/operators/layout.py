@@ -57,9 +57,10 @@ def drop_table_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 def repeated_margins(candidates: DataFrame, min_pages: int = MIN_PAGES, share: float = PAGE_SHARE) -> DataFrame:
     """(report_id, form, pages): margin forms on many pages; ``candidates`` has report_id, page_number, text of margin blocks."""
-    forms = candidates.select("report_id", "page_number", margin_form(F.col("text")).alias("form")).where("form <> ''")
+    # distinct first, so that the forms are worked out once for both counts
+    forms = step(candidates.select("report_id", "page_number", "text"), "form", margin_form(F.col("text"))).where("form <> ''").select("report_id", "page_number", "form").distinct()
     total = forms.groupBy("report_id").agg(F.countDistinct("page_number").alias("total"))
-    seen = forms.distinct().groupBy("report_id", "form").agg(F.count(F.lit(1)).alias("pages"))
+    seen = forms.groupBy("report_id", "form").agg(F.count(F.lit(1)).alias("pages"))
     return _join(seen, total, ["report_id"], "inner").where(F.col("pages") >= F.greatest(F.lit(min_pages), F.ceil(share * F.col("total")))).select("report_id", "form", "pages")
 
 

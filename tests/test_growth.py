@@ -1,12 +1,13 @@
 """Work that grew faster than the rows: small tables with the bad shape, held against their SQL or plain Python."""
 
+import hashlib
 import random
 import time
 
 import duckdb
 
 from millrace.operators import evaluate
-from millrace.plans import ingestion
+from millrace.plans import evaluation, ingestion
 from tests import oracle
 
 
@@ -38,3 +39,25 @@ def test_later_partners_over_blocks(spark, monkeypatch):
     want = sorted((a, b, -s) for a, x in best.items() for s, b in sorted(x)[:4])
     got = evaluate.same_report_pairs(df, ["cash", "risk", "loan"]).collect()
     assert sorted((r.left_id, r.right_id, r.score) for r in got) == want
+
+
+def test_digests_beyond_a_bound_are_not_sorted(spark, monkeypatch, tmp_path):
+    """The same ranks whether a half of the vectors bounds the last one, or so few that nothing does."""
+    spark.createDataFrame([(i, i % 7 if i % 11 else None) for i in range(900)], "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = []
+    for part in (2, 900):
+        monkeypatch.setattr(evaluation, "PART", part)
+        got.append(sorted(map(tuple, evaluation._ranked(spark, str(tmp_path)).collect())))
+    want = []
+    for q in range(0, 900, 50):
+        for n, i in enumerate(sorted(range(900), key=lambda i: hashlib.sha256(f"{q}|{i}".encode()).hexdigest())[:20], 1):
+            want.append((q, n, bool(q % 11 and i % 11 and q % 7 == i % 7), sum(k % 7 == q % 7 for k in range(900) if k % 11) if q % 11 else 0))
+    assert got == [sorted(want)] * 2
+
+
+def test_margins_make_no_row_a_line(spark, tmp_path):
+    texts = [("Annual report 1\n" + "x y\n" * 500 + "Page 1 end", 0), ("Annual report 2\nx\nPage 2 end", 1), ("one line", 2), (None, 3), ("\n", 4)]
+    spark.createDataFrame([(i, t, "s") for t, i in texts], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = ingestion.margin_frequency(spark, str(tmp_path))
+    assert {(r.form, r.pages) for r in got.collect()} == {("annual report <number>", 2), ("page <number> end", 2)}
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()

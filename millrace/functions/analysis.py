@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,21 +109,18 @@ def analyze(text: str, analyzer: str = "simple") -> list[str | None]:
     return tokens if analyzer == "simple" else [None if t in STOP_WORDS else stem(t) for t in tokens]
 
 
-def _english(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str | None] = {}
-
-    def one(t: str) -> str | None:
-        if t not in known:
-            known[t] = None if t in STOP_WORDS else stem(t)
-        return known[t]
-
-    return tokens.map(lambda ts: None if ts is None else [one(t) for t in ts])
+def _english(tokens: pa.Array) -> pa.Array:
+    """Each distinct word of a batch is stemmed once; the tokens stay numbers, never objects of their own."""
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([None if w is None or w in STOP_WORDS else stem(w) for w in words.dictionary.to_pylist()], pa.string())
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), stems.take(words.indices), mask=tokens.is_null())
 
 
 def english_lexemes(tokens: Column) -> Column:
     """Stems of simple tokens, null at stop words."""
     ship(SparkSession.active())
-    return F.pandas_udf(_english, T.ArrayType(T.StringType()))(tokens)
+    return F.arrow_udf(_english, T.ArrayType(T.StringType()))(tokens)
 
 
 def lexemes(text: Column, analyzer: str = "simple") -> Column:

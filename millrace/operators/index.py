@@ -8,14 +8,24 @@ at query time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Term, cover_density_of, lexemes, parse_query, query_words
+from ..shipping import ship
 from .search import FIELDS, top_k, with_filters
 
+KEY = ["document_id", "ticker", "report_year"]
+POSTINGS = "term string, document_id string, ticker string, report_year int, n long, places array<struct<pos:int,dense:int>>"
+#: Tokens of a run of postings, unless one document has more.
+RUN_TOKENS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Index:
@@ -26,17 +36,52 @@ class Index:
     analyzer: str = "english"
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of runs of documents, each run sorted by term and document."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch["t"]), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(sizes):
+            done = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + RUN_TOKENS, "right")))
+            yield _run(batch.slice(start, end - start))
+            start = end
+
+
+def _run(docs: pa.RecordBatch) -> pa.RecordBatch:
+    sizes = pc.fill_null(pc.list_value_length(docs["t"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = docs["t"].flatten().dictionary_encode()
+    names = words.dictionary
+    first = pc.array_sort_indices(names).to_numpy()
+    rank = np.empty(len(names), np.int64)
+    rank[first] = np.arange(len(names))
+    by_id = np.empty(len(docs), np.int64)
+    by_id[pc.array_sort_indices(docs["document_id"]).to_numpy()] = np.arange(len(docs))
+    doc = np.repeat(np.arange(len(docs)), sizes)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    known = words.indices.is_valid().to_numpy(zero_copy_only=False)
+    doc, pos, term = doc[known], pos[known], rank[words.indices.drop_null().to_numpy()]
+    lexemes_ = np.bincount(doc, minlength=len(docs))
+    dense = np.arange(len(doc)) - np.repeat(np.cumsum(lexemes_) - lexemes_, lexemes_)
+    order = np.lexsort((pos, by_id[doc], term))
+    doc, pos, term, dense = doc[order], pos[order], term[order], dense[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    ends = np.append(new, len(doc))
+    places = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (pos, dense)], ["pos", "dense"])
+    columns = {"term": names.take(pa.array(first[term[new]])), **{c: docs[c].take(pa.array(doc[new])) for c in KEY}, "n": pa.array(np.diff(ends), pa.int64())}
+    return pa.RecordBatch.from_pydict(columns | {"places": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)})
+
+
 def postings(docs: DataFrame, analyzer: str = "english") -> DataFrame:
     """(term, document_id, ticker, report_year, n, places) for each lexeme of a document.
 
     ``pos`` counts all tokens, so that stop words keep their room; ``dense`` counts
-    lexemes only, which is what a phrase needs.
+    lexemes only, which is what a phrase needs. A document's tokens are in one row, so
+    nothing is shuffled; rows come in runs that are sorted by term.
     """
-    key = ["document_id", "ticker", "report_year"]
-    tokens = docs.select(*key, lexemes(F.col("text"), analyzer).alias("t"))
-    kept = F.filter(F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: x["term"].isNotNull())
-    one = tokens.select(*key, F.posexplode(kept).alias("dense", "x")).select(*key, "x.term", F.struct(F.col("x.pos").alias("pos"), "dense").alias("place"))
-    return one.groupBy("term", *key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+    ship(docs.sparkSession)
+    tokens = docs.select(*KEY, lexemes(F.col("text"), analyzer).alias("t"))
+    return tokens.mapInArrow(_postings, POSTINGS)
 
 
 def check_counts(narratives: DataFrame, tables: DataFrame, documents: DataFrame) -> dict[str, int]:
@@ -60,8 +105,8 @@ def build_index(narratives: DataFrame, tables: DataFrame, embeddings: DataFrame,
     """Write documents and postings under ``path``, replacing what is there, and return the checked counts.
 
     Documents are partitioned by ticker and year, dealt by ranges so that a folder has
-    few files, and sorted by id within them; postings are dealt by ranges of terms and
-    sorted, so that the row-group statistics of a file lead to a word.
+    few files, and sorted by id within them; postings are written where their documents
+    are read, in runs sorted by term, so that the page statistics of a file lead to a word.
     """
     docs, spark = narratives.unionByName(tables).join(embeddings, "document_id", "left"), narratives.sparkSession
     order = ["ticker", "report_year", "document_id"]
@@ -69,7 +114,7 @@ def build_index(narratives: DataFrame, tables: DataFrame, embeddings: DataFrame,
     stored = index_documents(spark, path)
     counts = check_counts(narratives, tables, stored)
     check_embeddings(counts, whole)
-    postings(stored, analyzer).repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.mode("overwrite").parquet(f"{path}/postings")
+    postings(stored, analyzer).write.mode("overwrite").parquet(f"{path}/postings")
     return counts | {"postings": index_postings(spark, path).count()}
 
 
@@ -78,7 +123,7 @@ def index_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, document_id string, ticker string, report_year int, n long, places array<struct<pos:int,dense:int>>").parquet(f"{path}/postings")
+    return spark.read.schema(POSTINGS).parquet(f"{path}/postings")
 
 
 def load_index(spark: SparkSession, path: str, analyzer: str = "english") -> Index:

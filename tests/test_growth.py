@@ -61,3 +61,24 @@ def test_margins_make_no_row_a_line(spark, tmp_path):
     got = ingestion.margin_frequency(spark, str(tmp_path))
     assert {(r.form, r.pages) for r in got.collect()} == {("annual report <number>", 2), ("page <number> end", 2)}
     assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_made_where_the_documents_lie(spark):
+    """Runs of a few tokens give what plain Python gives, and no token is shuffled."""
+    from millrace.functions.analysis import analyze
+    from millrace.operators import index
+
+    texts = ["The cats were sleeping, the cat slept", "", None, "of the", "Running runs 12 x", "cats of cats"]
+    docs = spark.createDataFrame([(f"d{i}", None if i == 4 else "t", 2024, x) for i, x in enumerate(texts)], "document_id string, ticker string, report_year int, text string").coalesce(1)
+    for analyzer in ("simple", "english"):
+        found = index.postings(docs, analyzer)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for i, x in enumerate(texts):
+            dense = 0
+            for pos, w in enumerate(analyze(x or "", analyzer)):
+                if w is not None:
+                    want.setdefault((w, f"d{i}", None if i == 4 else "t", 2024), []).append((pos, dense))
+                    dense += 1
+        got = {(r.term, r.document_id, r.ticker, r.report_year): (r.n, [tuple(p) for p in r.places]) for r in found.collect()}
+        assert got == {k: (len(v), v) for k, v in want.items()}

@@ -57,8 +57,9 @@ def drop_table_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 def repeated_margins(candidates: DataFrame, min_pages: int = MIN_PAGES, share: float = PAGE_SHARE) -> DataFrame:
     """(report_id, form, pages): margin forms on many pages; ``candidates`` has report_id, page_number, text of margin blocks."""
-    # distinct first, so that the forms are worked out once for both counts
+    # written, so that the forms are worked out once for both counts
     forms = step(candidates.select("report_id", "page_number", "text"), "form", margin_form(F.col("text"))).where("form <> ''").select("report_id", "page_number", "form").distinct()
+    forms = kept(forms, "forms")
     total = forms.groupBy("report_id").agg(F.countDistinct("page_number").alias("total"))
     seen = forms.groupBy("report_id", "form").agg(F.count(F.lit(1)).alias("pages"))
     return _join(seen, total, ["report_id"], "inner").where(F.col("pages") >= F.greatest(F.lit(min_pages), F.ceil(share * F.col("total")))).select("report_id", "form", "pages")
@@ -68,13 +69,19 @@ def margin_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.where((F.col("y0") <= TOP * F.col("page_height")) | (F.col("y1") >= (1 - BOTTOM) * F.col("page_height")))
 
 
+def _with_flat(blocks: DataFrame) -> DataFrame:
+    """Adds ``flat``, worked out once for all steps."""
+    return blocks if "flat" in blocks.columns else step(blocks, "flat", flatten(F.coalesce("text", F.lit(""))))
+
+
 def drop_margins(blocks: DataFrame) -> DataFrame:
-    """Blocks less all whose text is that of a running header or footer of the report, wherever it stands."""
+    """Blocks, with ``flat`` (the text on one line), less all whose text is that of a running header or footer of the report, wherever it stands."""
     marks = kept(repeated_margins(margin_blocks(blocks)).select("report_id", F.col("form").alias("__form")), "margins")
     m, report = _same(blocks, marks, ["report_id"])
+    blocks = _with_flat(blocks)
     if (marks.agg(F.sum(F.octet_length("__form") + 64).alias("b")).first().b or 0) <= BROADCAST_BYTES:
         m = F.broadcast(m)  # the blocks stay where they are
-    return blocks.join(m, report & (margin_form(F.col("text")) == F.col("__form")), "left_anti")
+    return blocks.join(m, report & (margin_form(F.col("text"), F.col("flat")) == F.col("__form")), "left_anti")
 
 
 def report_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -88,7 +95,10 @@ def drop_contents_pages(blocks: DataFrame) -> DataFrame:
     low = F.lower(F.coalesce("text", F.lit("")))
     first = F.col("block_index") == F.min("block_index").over(page)
     marked = low.contains("contents") | low.contains("in this report") | low.contains("\nindex") | (low.startswith("index") & ~first)
-    numbers = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x).rlike(r"^\d{1,3}$")))
+    # nearly every block is one line, which needs no split
+    number = lambda x: (F.octet_length(F.trim(x)) <= 3) & F.trim(x).rlike(r"^\d{1,3}$")
+    text = F.coalesce("text", F.lit(""))
+    numbers = F.when(text.contains("\n"), F.size(F.filter(F.split(text, "\n", -1), number))).otherwise(number(text).cast("int"))
     sums = blocks.withColumns({"__marked": marked, "__numbers": numbers}).withColumns({"__any": F.max("__marked").over(page), "__all": F.sum("__numbers").over(page)})
     return sums.where(~(F.col("__any") & (F.col("__all") >= 5))).select(*blocks.columns)
 
@@ -102,7 +112,7 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy(*PAGE)
     width = F.col("page_width")
-    usable = step(blocks, "flat", flatten(F.coalesce("text", F.lit("")))).where(~decorative_line(F.col("flat"))).withColumns({
+    usable = _with_flat(blocks).where(~decorative_line(F.col("flat"))).withColumns({
         "__n": 1 + F.length("flat") - F.length(F.translate("flat", " ", "")), "__wide": F.col("x1") - F.col("x0") >= FULL_WIDTH * width, "__left": (F.col("x0") + F.col("x1")) / 2 < width / 2,
     })
     words = lambda side: F.sum(F.when(side, F.col("__n")).otherwise(0)).over(page)
@@ -142,7 +152,8 @@ def carried_before(rows: DataFrame, group: list[str], order: str, value: str, sp
 def page_sections(headings: DataFrame) -> DataFrame:
     """(report_id, page_number, section_title): the last heading up to each page's end, carried from page to page; ``headings`` has a row or more a page with flat, heading and place."""
     pages = headings.groupBy(*PAGE).agg(F.max_by(F.when(F.col("heading"), F.col("flat")), F.when(F.col("heading"), F.col("place"))).alias("__h"))
-    return carried_before(pages, ["report_id"], "page_number", "__h").select(*PAGE, F.coalesce("__h", "before").alias("section_title"))
+    # written, as pages are read for their spans and for themselves
+    return carried_before(kept(pages, "pages"), ["report_id"], "page_number", "__h").select(*PAGE, F.coalesce("__h", "before").alias("section_title"))
 
 
 def paragraph_starts(headed: DataFrame) -> DataFrame:

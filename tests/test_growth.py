@@ -5,9 +5,11 @@ import random
 import time
 
 import duckdb
+from pyspark.sql import functions as F
 
-from millrace.operators import evaluate
+from millrace.operators import evaluate, layout
 from millrace.plans import evaluation, ingestion
+from millrace.sources import fixtures
 from tests import oracle
 
 
@@ -82,3 +84,24 @@ def test_postings_are_made_where_the_documents_lie(spark):
                     dense += 1
         got = {(r.term, r.document_id, r.ticker, r.report_year): (r.n, [tuple(p) for p in r.places]) for r in found.collect()}
         assert got == {k: (len(v), v) for k, v in want.items()}
+
+
+def test_pages_are_made_once(spark, tmp_path):
+    """The section in force reads written pages, not the layout chain twice; regions of tables make no cells."""
+    rows = [("r", p, p % 3 == 0, f"h{p}", 1) for p in range(1, 3000)]
+    headed = spark.createDataFrame(rows, "report_id string, page_number long, heading boolean, flat string, place int").withColumn("flat", F.concat("flat", F.lit("!")))
+    got = layout.page_sections(headed)
+    assert "concat" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.page_number: r.section_title for r in got.collect()} == {p: f"h{p - p % 3}!" if p > 2 else None for p in range(1, 3000)}
+    spark.createDataFrame([(5, "a, b\nc", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    tables = fixtures.page_tables(spark, str(tmp_path))
+    assert "lambda" not in tables.select("page_number", "tx0", "ty0", "tx1", "ty1")._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.table_index for r in tables.collect()] == [1, 2]
+
+
+def test_margins_longer_or_shorter_than_their_form(spark):
+    """A header whose digits make it longer than its form, and one of two lines, go wherever they stand; a long line without digits stays."""
+    texts = ["Year " + "7" * 40, "Two\nlines here", "A line longer than any form of a margin", None]
+    rows = [("r", p, i, t, 0.0, 0.0 if i < 2 else 50.0, 10.0, 1.0 if i < 2 else 60.0, 100.0, 100.0) for p in range(8) for i, t in enumerate(texts)]
+    blocks = spark.createDataFrame(rows, "report_id string, page_number long, block_index int, text string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
+    assert {(r.page_number, r.block_index) for r in layout.drop_margins(blocks).collect()} == {(p, i) for p in range(8) for i in (2, 3)}

@@ -170,9 +170,9 @@ def _settle(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links across components within buckets; a bucket goes in blocks, each pair of blocks to one task."""
     kind = live.schema["node"].dataType.simpleString()
     ship(live.sparkSession)
-    sized = live.join(full.select("node", F.size("shingles").alias("n")), "node")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("g"))
-    dealt = live.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    # the tag is the size of the set; most buckets are one block
+    blocks = live.groupBy("key").agg(F.ceil(F.sum("tag") / BLOCK).cast("int").alias("g")).where("g > 1")
+    dealt = live.join(blocks, "key", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     dealt = dealt.select("key", "node", "component", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     dealt = dealt.select("key", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "node", "component")
     return dealt.join(full, "node").groupBy("key", "lo", "hi").applyInArrow(_across(percent), f"a {kind}, b {kind}").distinct()
